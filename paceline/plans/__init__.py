@@ -2,7 +2,7 @@
 
 import importlib
 
-AREAS = ["timing"]
+AREAS = ["timing", "library"]
 
 
 def load_all() -> None:
