@@ -2,7 +2,7 @@
 
 import importlib
 
-AREAS = ["timing", "library"]
+AREAS = ["timing", "library", "study"]
 
 
 def load_all() -> None:
