@@ -2,7 +2,7 @@
 
 import importlib
 
-AREAS = ["timing", "library", "study"]
+AREAS = ["timing", "library", "study", "runs"]
 
 
 def load_all() -> None:
