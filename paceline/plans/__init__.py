@@ -2,7 +2,7 @@
 
 import importlib
 
-AREAS = ["timing", "library", "study", "runs"]
+AREAS = ["timing", "library", "study", "runs", "series"]
 
 
 def load_all() -> None:
