@@ -2,7 +2,7 @@
 
 import importlib
 
-AREAS = ["timing", "library", "study", "runs", "series"]
+AREAS = ["timing", "library", "study", "runs", "series", "trajectory"]
 
 
 def load_all() -> None:
