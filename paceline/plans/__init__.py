@@ -2,7 +2,7 @@
 
 import importlib
 
-AREAS = ["timing", "library", "study", "runs", "series", "trajectory"]
+AREAS = ["timing", "library", "study", "runs", "series", "trajectory", "pose"]
 
 
 def load_all() -> None:
