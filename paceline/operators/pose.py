@@ -100,51 +100,58 @@ def nearest_other_hold(x, y, target: int, dx=0.0, dy=0.0) -> Column:
 
 # --- body -------------------------------------------------------------------------------------
 
-def _joint(points: Column, idx: int, h: str | None) -> Column:
-    p = F.get(F.filter(points, lambda q: q["idx"] == idx), F.lit(0))
-    ok = X.truthy(X.finite(p["x"]).between(-0.25, 1.25) & X.finite(p["y"]).between(-0.25, 1.25) & X.finite(p["visibility"]).isNotNull())
-    x, y = (p["x"], p["y"]) if h is None else project(p["x"], p["y"], h)
-    return F.when(ok & x.isNotNull() & y.isNotNull(), F.struct(x.alias("x"), y.alias("y"), p["visibility"].alias("v")))
+JOINT_POS = {n: i for i, n in enumerate([*JOINTS, "neck", "midHip"])}
 
 
 def with_joints(frames: DataFrame, h: str | None = None) -> DataFrame:
-    """The 17 named joints and the two midpoints as one struct column; wall space when ``h`` is given (JN15)."""
-    df = frames.withColumn("joints", F.struct(*[_joint(F.col("landmarks"), i, h).alias(n) for n, i in JOINTS.items()]))
-
-    def mid(a, b):
-        a, b = F.col(f"joints.{a}"), F.col(f"joints.{b}")
+    """The 17 named joints and the two midpoints as one array; wall space when ``h`` is given (JN15).
+
+    Higher-order functions keep the expression small: it is written once, not once per joint.
+    """
+    def joint(i):
+        p = F.get(F.filter("landmarks", lambda q: q["idx"] == i), F.lit(0))
+        ok = X.truthy(X.finite(p["x"]).between(-0.25, 1.25) & X.finite(p["y"]).between(-0.25, 1.25) & X.finite(p["visibility"]).isNotNull())
+        x, y = (p["x"], p["y"]) if h is None else project(p["x"], p["y"], h)
+        return F.when(ok & x.isNotNull() & y.isNotNull(), F.struct(x.alias("x"), y.alias("y"), p["visibility"].alias("v")))
+
+    def mid(pair):
+        a, b = F.get("joints", pair["a"]), F.get("joints", pair["b"])
         return F.when(a.isNotNull() & b.isNotNull(), F.struct(((a["x"] + b["x"]) / 2).alias("x"), ((a["y"] + b["y"]) / 2).alias("y"), F.least(a["v"], b["v"]).alias("v")))
-    return df.withColumn("joints", F.struct(*[F.col(f"joints.{n}").alias(n) for n in JOINTS], mid("leftShoulder", "rightShoulder").alias("neck"), mid("leftHip", "rightHip").alias("midHip")))
+    pairs = F.array(*[F.struct(F.lit(JOINT_POS[a]).alias("a"), F.lit(JOINT_POS[b]).alias("b")) for a, b in (("leftShoulder", "rightShoulder"), ("leftHip", "rightHip"))])
+    df = frames.withColumn("joints", F.transform(F.array(*[F.lit(i) for i in JOINTS.values()]), joint))
+    return df.withColumn("joints", F.concat("joints", F.transform(pairs, mid)))
 
 
-def segment_rows(frames: DataFrame, min_visibility: float = 0.25, h: str | None = None, keys=("attempt_id", "frame_id")) -> DataFrame:
-    """JN14: twelve rows per frame: centre, mass and whether the segment is usable."""
-    items = []
-    for name, a, b, mass, ratio, required in SEGMENTS:
-        p, q = F.col(f"joints.{a}"), F.col(f"joints.{b}")
+def _segments(min_visibility: float) -> Column:
+    """Twelve segment structs of a frame, computed from the joints array."""
+    spec = F.array(*[F.struct(F.lit(n).alias("n"), F.lit(JOINT_POS[a]).alias("a"), F.lit(JOINT_POS[b]).alias("b"), F.lit(m).alias("m"), F.lit(r).alias("r"), F.lit(q).alias("q")) for n, a, b, m, r, q in SEGMENTS])
+
+    def one(s):
+        p, q = F.get("joints", s["a"]), F.get("joints", s["b"])
         v = F.least(p["v"], q["v"])
         used = X.truthy(p.isNotNull() & q.isNotNull() & (v >= min_visibility))
-        items.append(F.struct(F.lit(name).alias("segment"), F.lit(mass).alias("mass"), F.lit(required).alias("required"), used.alias("used"), F.when(used, v).alias("visibility"),
-                              F.when(used, p["x"] + (q["x"] - p["x"]) * ratio).alias("seg_x"), F.when(used, p["y"] + (q["y"] - p["y"]) * ratio).alias("seg_y")))
-    return with_joints(frames, h).select(*keys, F.explode(F.array(*items)).alias("s")).select(*keys, "s.*")
+        return F.struct(s["n"].alias("segment"), s["m"].alias("mass"), s["q"].alias("required"), used.alias("used"), F.when(used, v).alias("visibility"),
+                        F.when(used, p["x"] + (q["x"] - p["x"]) * s["r"]).alias("seg_x"), F.when(used, p["y"] + (q["y"] - p["y"]) * s["r"]).alias("seg_y"))
+    return F.transform(spec, one)
+
+
+def segment_rows(frames: DataFrame, min_visibility: float = 0.25, h: str | None = None, keys=("attempt_id", "frame_id")) -> DataFrame:
+    """JN14: twelve rows per frame: centre, mass and whether the segment is usable."""
+    return with_joints(frames, h).select(*keys, F.explode(_segments(min_visibility)).alias("s")).select(*keys, "s.*")
 
 
 def centre_of_mass(frames: DataFrame, min_visibility: float = 0.25, min_mass: float = 0.75, h: str | None = None, keys=("attempt_id", "frame_id")) -> DataFrame:
     """AG9: mass-weighted centre of the usable segments; needs the trunk and enough mass."""
-    df = with_joints(frames, h)
-    sums = {k: F.lit(0.0) for k in ("m", "x", "y", "v")}
-    trunk = F.lit(True)
-    for _, a, b, mass, ratio, required in SEGMENTS:
-        p, q = F.col(f"joints.{a}"), F.col(f"joints.{b}")
-        v = F.least(p["v"], q["v"])
-        used = X.truthy(p.isNotNull() & q.isNotNull() & (v >= min_visibility))
-        for k, val in (("m", F.lit(mass)), ("x", (p["x"] + (q["x"] - p["x"]) * ratio) * mass), ("y", (p["y"] + (q["y"] - p["y"]) * ratio) * mass), ("v", v * mass)):
-            sums[k] = sums[k] + F.when(used, val).otherwise(0.0)
-        if required:
-            trunk = trunk & used
-    df = df.withColumns({f"_{k}": c for k, c in sums.items()}).withColumn("com_valid", trunk & (F.col("_m") >= min_mass))
-    return df.select(*keys, "com_valid", F.when(F.col("com_valid"), F.col("_x") / F.col("_m")).alias("com_x"), F.when(F.col("com_valid"), F.col("_y") / F.col("_m")).alias("com_y"),
-                     F.col("_m").alias("mass_coverage"), F.when(F.col("_m") > 0, F.col("_v") / F.col("_m")).otherwise(0.0).alias("mean_visibility"))
+    zero = F.struct(*[F.lit(0.0).alias(k) for k in "mxyv"], F.lit(True).alias("ok"))
+
+    def add(a, s):
+        u, m = s["used"], s["mass"]
+        plus = lambda k, val: (a[k] + F.when(u, val).otherwise(0.0)).alias(k)
+        return F.struct(plus("m", m), plus("x", s["seg_x"] * m), plus("y", s["seg_y"] * m), plus("v", s["visibility"] * m), (a["ok"] & (u | ~s["required"])).alias("ok"))
+    df = with_joints(frames, h).select(*keys, F.aggregate(_segments(min_visibility), zero, add).alias("t"))
+    df = df.withColumn("com_valid", F.col("t.ok") & (F.col("t.m") >= min_mass))
+    return df.select(*keys, "com_valid", F.when(F.col("com_valid"), F.col("t.x") / F.col("t.m")).alias("com_x"), F.when(F.col("com_valid"), F.col("t.y") / F.col("t.m")).alias("com_y"),
+                     F.col("t.m").alias("mass_coverage"), F.when(F.col("t.m") > 0, F.col("t.v") / F.col("t.m")).otherwise(0.0).alias("mean_visibility"))
 
 
 def body_anchor(landmarks: Column) -> Column:

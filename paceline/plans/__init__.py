@@ -2,7 +2,7 @@
 
 import importlib
 
-AREAS = ["timing", "library", "study", "runs", "series", "trajectory", "pose"]
+AREAS = ["timing", "library", "study", "runs", "series", "trajectory", "pose", "fusion"]
 
 
 def load_all() -> None:
