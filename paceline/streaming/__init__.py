@@ -1,0 +1 @@
+"""Incremental forms of the rules that suit a live feed."""
