@@ -24,21 +24,21 @@ def _marker(values: dict[str, Column]) -> Column:
 
 
 def cleared() -> Column:
-    return _marker({f: F.lit(EMPTY.get(f)) for f in FIELDS})
+    return F.expr("named_struct(" + ", ".join(f"'{f}', " + (f"'{EMPTY[f]}'" if f in EMPTY else f"cast(null as {TYPES[f]})") for f in FIELDS) + ")")
 
 
 def to_wide(markers: DataFrame, keep: list[str] = ()) -> DataFrame:
     """Pivot to one struct per marker id; absent markers become cleared ones."""
     have = set(markers.columns)
-    packed = _marker({f: F.col(f) if f in have else F.lit(None) for f in FIELDS})
-    aggs = [F.max(F.when(F.col("marker_id") == m, packed)).alias(m) for m in X.MARKER_IDS]
+    packed = "named_struct(" + ", ".join(f"'{f}', " + (f if f in have else f"cast(null as {TYPES[f]})") for f in FIELDS) + ")"
+    aggs = [F.expr(f"max({packed}) filter (where marker_id = '{m}')").alias(m) for m in X.MARKER_IDS]
     wide = markers.groupBy("attempt_id", *keep).agg(*aggs)
-    return wide.select("attempt_id", *keep, *[F.coalesce(F.col(m), cleared()).alias(m) for m in X.MARKER_IDS])
+    empty = cleared()
+    return wide.select("attempt_id", *keep, *[F.coalesce(F.col(m), empty).alias(m) for m in X.MARKER_IDS])
 
 
 def to_long(wide: DataFrame, keep: list[str] = ()) -> DataFrame:
-    rows = F.array(*[F.struct(F.lit(m).alias("marker_id"), F.lit(i + 1).alias("marker_ord"), F.col(m).alias("m"))
-                     for i, m in enumerate(X.MARKER_IDS)])
+    rows = F.expr("array(" + ", ".join(f"named_struct('marker_id', '{m}', 'marker_ord', {i + 1}, 'm', {m})" for i, m in enumerate(X.MARKER_IDS)) + ")")
     return (wide.select("attempt_id", *keep, F.explode(rows).alias("r"))
             .select("attempt_id", *keep, "r.marker_id", "r.marker_ord", "r.m.*"))
 
@@ -91,18 +91,20 @@ def repair_wide(markers: DataFrame, durations: DataFrame | None = None) -> DataF
     wide = to_wide(checked, keep)
     # each kept value is the lower bound of the next, so the bounds are chained columns
     s, f = F.col("startSignal.raw_time"), F.col("finishPad.raw_time")
-    wide = wide.withColumn("_f", F.when(f > s + 0.001, f)).withColumn("_last", s)
-    keeps = {"startSignal": s.isNotNull(), "finishPad": F.col("_f").isNotNull()}
+    wide = wide.withColumns({"_s": s, "_f": F.when(f > s + 0.001, f)})
+    kept: list[str] = []
     for m in X.MIDDLE_MARKERS:
-        t = F.col(f"{m}.raw_time")
-        ok = X.truthy(s.isNotNull() & (t >= s) & (F.col("_f").isNull() | (t < F.col("_f") - 0.001)) & (t >= F.col("_last")))
-        wide = wide.withColumn(f"_k_{m}", ok).withColumn("_last", F.when(F.col(f"_k_{m}"), t).otherwise(F.col("_last")))
-        keeps[m] = F.col(f"_k_{m}")
+        bound = ", ".join([*[f"_t_{k}" for k in reversed(kept)], "_s"])
+        ok = f"{m}.raw_time >= coalesce({bound}) and _s is not null and (_f is null or {m}.raw_time < _f - 0.001D)"
+        wide = wide.withColumn(f"_t_{m}", F.expr(f"case when {ok} then {m}.raw_time end"))
+        kept.append(m)
+    times = {"startSignal": "_s", "finishPad": "_f", **{m: f"_t_{m}" for m in X.MIDDLE_MARKERS}}
+    empty = cleared()
     out = []
     for m in X.MARKER_IDS:
-        climb = F.lit(0.0) if m == "startSignal" else X.round_ms(F.col(f"{m}.raw_time") - s)
-        full = F.col(m).withField("climb_time", climb)
-        out.append(F.when(keeps[m], full).otherwise(cleared()).alias(m))
+        climb = "0.0D" if m == "startSignal" else f"cast(floor(({times[m]} - _s) * 1000.0D + 0.5D) as double) / 1000.0D"
+        full = F.expr("named_struct(" + ", ".join(f"'{x}', {climb if x == 'climb_time' else f'{m}.{x}'}" for x in FIELDS) + ")")
+        out.append(F.when(F.col(times[m]).isNotNull(), full).otherwise(empty).alias(m))
     return wide.select("attempt_id", *out)
 
 
