@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import exprs as X
 from ..functions.scans import previous_row
-from .metrics import METRIC_IDS, _t
+from .metrics import METRIC_IDS, _t, timing_structs
 
 
 def lineage_text(x="lineage_id") -> Column:
@@ -49,26 +49,39 @@ def identity(a: str = "b", b: str = "c") -> Column:
     return F.when(same, "same-attempt").when(X.truthy(details & both & overlap), "possible-overlap").otherwise("distinct-or-unknown")
 
 
+def pack_metrics(metrics: DataFrame) -> DataFrame:
+    """Metric rows as one map per attempt (seven entries at most)."""
+    return metrics.groupBy("attempt_id").agg(F.map_from_entries(F.collect_list(
+        F.struct("metric_id", F.struct("value_s", "confidence", "floor_s")))).alias("metrics"))
+
+
+def timed_attempts(attempts: DataFrame, wide: DataFrame) -> DataFrame:
+    """Attempts with accepted range and timing metrics, straight from the wide markers: one join."""
+    s, f = _t("startSignal"), _t("finishPad")
+    rows = F.filter(F.array(*timing_structs()), lambda r: r["value_s"].isNotNull())
+    m = F.map_from_entries(F.transform(rows, lambda r: F.struct(r["metric_id"], F.struct(r["value_s"].alias("value_s"), r["confidence"].alias("confidence"), r["floor_s"].alias("floor_s")))))
+    facts = wide.select("attempt_id", F.when(f > s, s).alias("range_start"), F.when(f > s, f).alias("range_end"), m.alias("metrics"))
+    return attempts.join(facts, "attempt_id", "left")
+
+
 def consecutive_pairs(ranges: DataFrame) -> DataFrame:
-    """Each attempt of an athlete with the athlete's previous one, in date order."""
+    """Each attempt of an athlete with the athlete's previous one, in date order.
+
+    Metrics travel with the attempt when ``ranges`` carries them, so a pair needs no later join.
+    """
     cols = ["attempt_id", "lineage_id", "name", "file_name", "duration_s", "width", "height", "range_start", "range_end"]
+    cols += [c for c in ("metrics",) if c in ranges.columns]
     p = previous_row(ranges, ["athlete"], "date", [F.col("date"), F.col("attempt_id")], cols)
     return p.where(F.col("prev_attempt_id").isNotNull()).select(
         "athlete", "date", F.struct(*[F.col("prev_" + x).alias(x) for x in cols]).alias("b"), F.struct(*cols).alias("c"))
 
 
-def compare_pairs(pairs: DataFrame, metrics: DataFrame, practice_prefix: str,
-                  distinct_confirmed: bool = False, context_confirmed: bool = True) -> DataFrame:
+def compare_pairs(pairs: DataFrame, practice_prefix: str, distinct_confirmed: bool = False, context_confirmed: bool = True) -> DataFrame:
     """JN1: seven rows per (baseline, candidate) pair with the outcome of each metric.
 
-    ``pairs`` holds structs ``b`` and ``c``.  Metrics are packed into one map per attempt first, so
-    the pair is joined twice on attempt ids and the metric lookup needs no further shuffle.
+    ``pairs`` holds structs ``b`` and ``c`` with the metrics map of each attempt.
     """
-    packed = metrics.groupBy("attempt_id").agg(F.map_from_entries(F.collect_list(
-        F.struct("metric_id", F.struct("value_s", "confidence", "floor_s")))).alias("m"))
-    b = packed.select(F.col("attempt_id").alias("_b"), F.col("m").alias("mb"))
-    c = packed.select(F.col("attempt_id").alias("_c"), F.col("m").alias("mc"))
-    df = pairs.join(b, F.col("b.attempt_id") == F.col("_b"), "left").join(c, F.col("c.attempt_id") == F.col("_c"), "left")
+    df = pairs.withColumns({"mb": F.col("b.metrics"), "mc": F.col("c.metrics")})
     df = df.withColumn("identity", identity())
     allowed = (F.col("identity") == "distinct-or-unknown") | ((F.col("identity") == "possible-overlap") & F.lit(distinct_confirmed))
     context = F.lit(context_confirmed) & ~mixed_practice(F.col("b.lineage_id"), F.col("c.lineage_id"), practice_prefix)

@@ -59,8 +59,8 @@ def comparison_floor(*markers: str) -> Column:
     return F.greatest(F.when(motion, 0.2).otherwise(0.1), spread * 2.0)
 
 
-def timing_metrics(wide: DataFrame) -> DataFrame:
-    """AG3: total, reaction and the two reviewed phases as rows."""
+def timing_structs() -> list[Column]:
+    """AG3: total, reaction and the two reviewed phases; value_s is NULL where a metric does not apply."""
     s, m, h, f = (_t(x) for x in ("startSignal", "firstMovement", "hold10", "finishPad"))
     conf = lambda *ms: X.min_confidence(*[F.col(f"{x}.confidence") for x in ms])
     phases = (F.col("hold10.acceptance_mode") == "frame-review") & (h > s) & (h < f)
@@ -71,9 +71,13 @@ def timing_metrics(wide: DataFrame) -> DataFrame:
         ("bottom-phase", phases, h - s, phase_conf, "Reviewed Hold 10", ("startSignal", "hold10")),
         ("top-phase", phases, f - h, phase_conf, "Reviewed Hold 10", ("hold10", "finishPad")),
     ]
-    structs = [F.struct(F.lit(i).alias("metric_id"), F.when(ok, X.round_ms(v)).alias("value_s"), cf.alias("confidence"),
+    return [F.struct(F.lit(i).alias("metric_id"), F.when(ok, X.round_ms(v)).alias("value_s"), cf.alias("confidence"),
                         F.lit(ev).alias("evidence"), comparison_floor(*fl).alias("floor_s")) for i, ok, v, cf, ev, fl in rows]
-    return (wide.select("attempt_id", F.explode(F.array(*structs)).alias("r")).select("attempt_id", "r.*").where("value_s is not null"))
+
+
+def timing_metrics(wide: DataFrame) -> DataFrame:
+    """AG3 as rows."""
+    return wide.select("attempt_id", F.explode(F.array(*timing_structs())).alias("r")).select("attempt_id", "r.*").where("value_s is not null")
 
 
 def with_section_metrics(timing: DataFrame, wide: DataFrame, sections: DataFrame) -> DataFrame:

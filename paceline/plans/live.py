@@ -125,7 +125,8 @@ def with_thirds(w):
  SELECT c.baseline_id, c.candidate_id, c.metric_id, c.delta_s, c.baseline_s, c.candidate_s FROM compared c JOIN g ON g.candidate_id=c.candidate_id WHERE CASE WHEN ph THEN metric_id IN ('bottom-phase','top-phase') ELSE metric_id LIKE '%-third' END AND delta_s IS NOT NULL AND outcome IN ('gained','lost')""")
 def jn27(spark, sf):
     w = T.wide(spark, sf)
-    return W.section_review(C.compare_pairs(C.consecutive_pairs(C.accepted_ranges(R.attempts(spark, sf), w)), with_thirds(w), T.PRACTICE))
+    a = C.accepted_ranges(R.attempts(spark, sf), w).join(C.pack_metrics(with_thirds(w)), "attempt_id", "left")
+    return W.section_review(C.compare_pairs(C.consecutive_pairs(a), T.PRACTICE))
 
 
 @query("ag4", f"WITH {T.WIDE}, {M0}, {THIRDS} SELECT * FROM metrics")

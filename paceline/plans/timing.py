@@ -113,8 +113,7 @@ def pairs(spark, sf):
 
 
 def compared(spark, sf):
-    w = wide(spark, sf)
-    return C.compare_pairs(C.consecutive_pairs(C.accepted_ranges(R.attempts(spark, sf), w)), K.timing_metrics(w), PRACTICE)
+    return C.compare_pairs(C.consecutive_pairs(C.timed_attempts(R.attempts(spark, sf), wide(spark, sf))), PRACTICE)
 
 
 @query("prj1", f"WITH {BASE}, {REPAIRED} SELECT * FROM repaired")
