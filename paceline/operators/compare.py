@@ -67,11 +67,11 @@ def timed_attempts(attempts: DataFrame, wide: DataFrame) -> DataFrame:
 def consecutive_pairs(ranges: DataFrame) -> DataFrame:
     """Each attempt of an athlete with the athlete's previous one, in date order.
 
-    Metrics travel with the attempt when ``ranges`` carries them, so a pair needs no later join.
+    Metrics and facts travel with the attempt when ``ranges`` carries them, so a pair needs no later join.
     """
     cols = ["attempt_id", "lineage_id", "name", "file_name", "duration_s", "width", "height", "range_start", "range_end"]
-    cols += [c for c in ("metrics",) if c in ranges.columns]
-    p = previous_row(ranges, ["athlete"], "date", [F.col("date"), F.col("attempt_id")], cols)
+    cols += [c for c in ("metrics", "facts") if c in ranges.columns]
+    p = previous_row(ranges.select("athlete", "date", *cols), ["athlete"], "date", [F.col("date"), F.col("attempt_id")], cols)
     return p.where(F.col("prev_attempt_id").isNotNull()).select(
         "athlete", "date", F.struct(*[F.col("prev_" + x).alias(x) for x in cols]).alias("b"), F.struct(*cols).alias("c"))
 

@@ -17,14 +17,9 @@ from ..functions import exprs as X
 FACTS = ["timing_state", "total_s", "movement_s", "reviewed_hold10", "bottom_s", "top_s", "speed_coverage", "floor_total_s", "floor_bottom_s", "floor_top_s"]
 
 
-def fact_pairs(pairs: DataFrame, facts: DataFrame) -> DataFrame:
-    """JN29: facts of an attempt (struct ``c``) next to its baseline's (struct ``b``, NULL without one).
-
-    ``pairs``: attempt_id, baseline_id.
-    """
-    f = facts.select("attempt_id", F.struct(*FACTS).alias("c"))
-    g = facts.select(F.col("attempt_id").alias("baseline_id"), F.struct(*FACTS).alias("b"))
-    return pairs.join(f, "attempt_id").join(g, "baseline_id", "left")
+def fact_pairs(pairs: DataFrame) -> DataFrame:
+    """JN29: facts of an attempt (struct ``c``) next to its baseline's (struct ``b``); they travel in the pair."""
+    return pairs.select(F.col("c.attempt_id").alias("attempt_id"), F.col("b.attempt_id").alias("baseline_id"), F.col("c.facts").alias("c"), F.col("b.facts").alias("b")).where("c is not null")
 
 
 def facts_violation(v: str = "c") -> Column:

@@ -141,15 +141,17 @@ def kinematics(frames: DataFrame, smoothing: float = 0.2) -> DataFrame:
     return metric_chunks(fit_chunks(chunk_frames(flag_frames(merge_cursor_times(frames))), smoothing))
 
 
-def peak_speeds(kin: DataFrame, fps: float) -> DataFrame:
-    """WN8: peak speed over runs of at least three samples no further than 0.125 s apart."""
+def with_peak_candidates(kin: DataFrame, fps: float) -> DataFrame:
+    """WN8: ``peak_candidate`` is the speed inside runs of at least three samples no further than 0.125 s apart."""
     w = Window.partitionBy(KEY, "metric_chunk").orderBy("raw_time")
-    m = kin.where("metric_chunk is not null")
     apart = F.col("sample_time") - F.lag("sample_time").over(w) > 0.125 + 1e-6
-    m = m.withColumn("_run", F.sum(F.when(X.truthy(apart) | F.col("speed").isNull(), 1).otherwise(0)).over(w))
-    runs = m.where("speed is not null").groupBy(KEY, "metric_chunk", "_run").agg(F.count("*").alias("n"), F.max("speed").alias("peak")).where("n >= 3")
-    out = runs.groupBy(KEY).agg(F.max("peak").alias("peak_speed"))
-    return out if fps >= 8 else out.withColumn("peak_speed", F.lit(None).cast("double"))
+    m = kin.withColumn("_run", F.sum(F.when(X.truthy(apart) | F.col("speed").isNull(), 1).otherwise(0)).over(w))
+    inside = F.col("metric_chunk").isNotNull() & (F.count("speed").over(Window.partitionBy(KEY, "metric_chunk", "_run")) >= 3) & F.lit(fps >= 8)
+    return m.withColumn("peak_candidate", F.when(inside, F.col("speed"))).drop("_run")
+
+
+def peak_speeds(kin: DataFrame, fps: float) -> DataFrame:
+    return with_peak_candidates(kin, fps).groupBy(KEY).agg(F.max("peak_candidate").alias("peak_speed")).where("peak_speed is not null")
 
 
 def metrics(kin: DataFrame, fps: float = 10.0, min_mass: float = 0.75, automatic: bool = False, calibration_confidence: str = "High") -> DataFrame:
@@ -157,22 +159,21 @@ def metrics(kin: DataFrame, fps: float = 10.0, min_mass: float = 0.75, automatic
     w = Window.partitionBy(KEY, "metric_chunk").orderBy("raw_time")
     inside = F.col("metric_chunk").isNotNull()
     step = F.when(inside, F.hypot(F.col("fit_x") - F.lag("fit_x").over(w), F.col("fit_y") - F.lag("fit_y").over(w)))
-    df = kin.withColumn("_step", step)
+    df = with_peak_candidates(kin.withColumn("_step", step), fps)
     ok = F.col("valid") & F.col("wall_x").isNotNull() & ~excluded()
     count = F.count_if
     ends = lambda agg: agg(F.when(inside, F.struct("raw_time", "sample_time", "fit_x", "fit_y")))
     detected = F.when(F.col("candidate_count").isNotNull(), F.col("candidate_count") > 0).otherwise(F.col("pose_detected"))
     per = df.groupBy(KEY, "metric_chunk").agg(
         F.count("*").alias("n"), count(X.truthy(detected)).alias("det"), count(X.truthy(F.coalesce("pose_selected", "pose_detected"))).alias("sel"), count(X.truthy(ok)).alias("val"),
-        F.sum(F.when(X.truthy(ok), F.col("mass_coverage"))).alias("mass"), F.sum("_step").alias("path"), ends(F.min).alias("a"), ends(F.max).alias("z"),
+        F.sum(F.when(X.truthy(ok), F.col("mass_coverage"))).alias("mass"), F.sum("_step").alias("path"), F.max("peak_candidate").alias("peak"), ends(F.min).alias("a"), ends(F.max).alias("z"),
         F.bool_or("extrapolated").alias("ext"), F.bool_or("raw_jump").alias("rj"), F.bool_or("fit_jump").alias("fj"), F.bool_or("repeated").alias("rep"), F.bool_or("late").alias("late"))
     long = F.col("metric_chunk").isNotNull() & (F.col("z.raw_time") > F.col("a.raw_time"))
     g = per.groupBy(KEY).agg(
         F.sum("n").alias("requested"), F.sum("det").alias("detected"), F.sum("sel").alias("selected"), F.sum("val").alias("valid_frames"), F.sum("mass").alias("_mass"), F.sum("path").alias("_path"),
         F.sum(F.when(long, F.col("z.sample_time") - F.col("a.sample_time"))).alias("_active"), F.sum(F.when(long, F.hypot(F.col("z.fit_x") - F.col("a.fit_x"), F.col("z.fit_y") - F.col("a.fit_y")))).alias("_chord"),
-        F.sum(F.when(long, F.col("z.fit_y") - F.col("a.fit_y"))).alias("_gain"), F.count("metric_chunk").alias("chunks"),
+        F.sum(F.when(long, F.col("z.fit_y") - F.col("a.fit_y"))).alias("_gain"), F.count("metric_chunk").alias("chunks"), F.max("peak").alias("peak_speed"),
         *[F.bool_or(c).alias(c) for c in ("ext", "rj", "fj", "rep", "late")])
-    g = g.join(peak_speeds(kin, fps), KEY, "left")
     r = F.col("requested").cast("double")
     g = g.withColumns({"detection_coverage": F.col("detected") / r, "tracking_coverage": F.col("selected") / r, "valid_coverage": F.col("valid_frames") / r,
                        "mean_mass": F.coalesce(F.col("_mass") / F.nullif("valid_frames", F.lit(0)), F.lit(0.0)), "_p": F.coalesce("_path", F.lit(0.0)), "_t": F.coalesce("_active", F.lit(0.0))})

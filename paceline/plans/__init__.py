@@ -2,7 +2,7 @@
 
 import importlib
 
-AREAS = ["timing", "library", "study", "runs", "series", "trajectory", "pose", "fusion", "colour", "live"]
+AREAS = ["timing", "library", "study", "runs", "series", "trajectory", "pose", "fusion", "colour", "live", "lights"]
 
 
 def load_all() -> None:

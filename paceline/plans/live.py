@@ -39,8 +39,9 @@ def facts(w):
 
 def fact_pairs(spark, sf):
     w = T.wide(spark, sf)
-    p = C.consecutive_pairs(C.accepted_ranges(R.attempts(spark, sf), w)).select(F.col("c.attempt_id").alias("attempt_id"), F.col("b.attempt_id").alias("baseline_id"))
-    return W.fact_pairs(p, facts(w))
+    f = facts(w).select("attempt_id", F.struct(*W.FACTS).alias("facts"))
+    ends = F.lit(None).cast("double")
+    return W.fact_pairs(C.consecutive_pairs(R.attempts(spark, sf).join(f, "attempt_id", "left").withColumns({"range_start": ends, "range_end": ends})))
 
 
 FP = f"{T.WIDE}, {T.FACTS}, {T.PAIRS}, fc AS (SELECT *, CASE WHEN timing_state='accepted' AND attempt_id%11<>0 THEN (attempt_id%11)/10.0::DOUBLE END AS cov FROM facts)"
