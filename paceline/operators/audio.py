@@ -223,3 +223,64 @@ def reconcile_channels(mixed: DataFrame, channels: DataFrame, key: str = "attemp
     df = mixed.join(rec, key, "left")
     use = F.col("_t").isNotNull() & (F.col("confidence") != "High")
     return df.select(key, F.when(use, F.col("_t")).otherwise(F.col("raw_time")).alias("raw_time"), F.when(use, "High").otherwise(F.col("confidence")).alias("confidence"), F.when(use, F.col("_ch")).alias("recovered_channel"))
+
+
+def stable_pitch_tones(features: DataFrame, parents: DataFrame, key: str = "attempt_id", tolerance: float = 120.0) -> DataFrame:
+    """WN41: pitch-stable stretches inside a tone segment, one view per qualified frame, duplicates removed.
+
+    Parents last at most 1.4 s (140 frames), so seeds meet only the frames of their own segment.
+    """
+    p = parents.where(F.col("duration_s") <= 1.4).select(key, F.col("start_s").alias("ps"), F.col("end_s").alias("pe"))
+    f = features.join(p, key).where((F.col("t") >= F.col("ps") - HOP_S) & (F.col("t") <= F.col("pe"))).withColumn("q", protocol_frame())
+    seg = Window.partitionBy(key, "ps").orderBy("t")
+    f = f.withColumn("i", F.row_number().over(seg))
+    seeds = f.where("q").select(key, "ps", F.col("frequency").alias("seed")).distinct()
+    m = f.join(seeds, [key, "ps"]).where(F.col("q") & (X.cents("frequency", "seed") <= tolerance))
+    run = Window.partitionBy(key, "ps", "seed").orderBy("i")
+    m = m.withColumn("_r", F.sum(F.coalesce((F.col("i") - F.lag("i").over(run) > 3).cast("int"), F.lit(0))).over(run))
+    keys = [key, "ps", "seed", "_r"]
+    m = m.withColumn("_f0", F.percentile("frequency", F.lit(0.5)).over(Window.partitionBy(*keys)))
+    g = m.groupBy(*keys).agg(F.min("t").alias("a"), F.max("t").alias("z"), F.min("i").alias("ia"), F.max("i").alias("iz"), F.avg("tonality").alias("tonality"), F.max("_f0").alias("frequency"),
+                             F.percentile(X.cents("frequency", "_f0"), F.lit(0.5)).alias("stability_cents"), F.avg("prominence_db").alias("prominence_db"), F.avg("concentration").alias("concentration"), F.count("*").alias("qualified")).where("qualified >= 4")
+    # many seeds describe the same stretch: keep one row per stretch before the loudness lookup
+    g = g.withColumn("s", F.greatest(F.col("ps"), F.col("a") - HOP_S)).dropDuplicates([key, "ps", "ia", "iz", "qualified", "frequency"])
+    loud = f.select(key, "ps", F.col("i").alias("_i"), "rms")
+    g = g.join(loud, [key, "ps"]).where(F.col("_i").between(F.col("ia"), F.col("iz"))).groupBy(*[c for c in g.columns]).agg(F.max("rms").alias("peak_rms"))
+    g = g.withColumns({"start_s": X.round_ms("s"), "end_s": X.round_ms(F.col("z") + FRAME_S), "duration_s": X.round_ms(F.col("z") + FRAME_S - F.col("s"))}).where(F.col("duration_s").between(0.04, 1.4))
+    quality = F.col("qualified") * 2 + F.col("tonality") * 10 + F.col("prominence_db") * 0.2 - F.col("stability_cents") * 0.02
+    cols = ["start_s", "end_s", "duration_s", "peak_rms", "tonality", "frequency", "stability_cents", "prominence_db", "concentration", "qualified"]
+    g = g.select(key, quality.alias("quality"), *cols)
+    # only overlapping stretches can be duplicates: fold per cluster of overlapping ones, best first
+    w = Window.partitionBy(key).orderBy("start_s", "end_s")
+    apart = F.coalesce(F.col("start_s") > F.max("end_s").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(True))
+    g = g.withColumn("_c", F.sum(apart.cast("int")).over(w))
+    items = g.groupBy(key, "_c").agg(F.sort_array(F.collect_list(F.struct((-F.col("quality")).alias("o"), *cols))).alias("items"))
+    same = lambda k, x: (X.cents(k["frequency"], x["frequency"]) <= tolerance) & (F.greatest(F.lit(0.0), F.least(k["end_s"], x["end_s"]) - F.greatest(k["start_s"], x["start_s"])) / F.greatest(F.lit(0.001), F.least(k["duration_s"], x["duration_s"])) >= 0.6)
+    kept = F.aggregate("items", F.slice("items", 1, 0), lambda k, x: F.when(F.exists(k, lambda y: same(y, x)), k).otherwise(F.concat(k, F.array(x))))
+    return items.select(key, F.explode(kept).alias("s")).select(key, *[f"s.{c}" for c in cols])
+
+
+# The secondary profile for review (preparation and final pitch in Hz, tolerance).
+SECONDARY = (880.0, 1760.0, 0.08)
+
+
+def secondary_review(tones: DataFrame, key: str = "attempt_id") -> DataFrame:
+    """WN47: a bounded 880/1760 Hz pattern as a place to look; it never votes."""
+    prep, final, err = SECONDARY
+    strong = (X.relative_difference("frequency", F.lit(prep)) <= err) & (F.col("qualified") >= 6) & (F.col("duration_s") >= 0.08) & (F.col("prominence_db") >= 18) & (F.col("stability_cents") <= 80)
+    last = (X.relative_difference("frequency", F.lit(final)) <= err) & (F.col("qualified") >= 4) & (F.col("prominence_db") >= 14) & (F.col("stability_cents") <= 140)
+    cols = ["start_s", "duration_s", "frequency", "tonality", "prominence_db"]
+    named = lambda d, p: d.select(key, F.explode(F.array(F.floor(F.col("start_s") / REACH_S), F.floor(F.col("start_s") / REACH_S) - 1)).alias("_k"), *[F.col(c).alias(p + c) for c in cols])
+    a = tones.where(strong).select(key, F.floor(F.col("start_s") / REACH_S).alias("_k"), *[F.col(c).alias("a_" + c) for c in cols])
+    df = a.join(named(tones.where(strong), "b_"), [key, "_k"]).withColumn("_k", F.floor(F.col("b_start_s") / REACH_S)).join(named(tones.where(last), "c_"), [key, "_k"])
+    g1, g2 = F.col("b_start_s") - F.col("a_start_s"), F.col("c_start_s") - F.col("b_start_s")
+    mean, pitch = (g1 + g2) / 2, (F.col("a_frequency") + F.col("b_frequency")) / 2
+    d1, d2 = F.col("a_duration_s"), F.col("b_duration_s")
+    same, spread, dspread = X.relative_difference("a_frequency", "b_frequency"), F.abs(g1 - g2) / 2 / mean, F.abs(d1 - d2) / 2 / F.greatest((d1 + d2) / 2, F.lit(1e-6))
+    avg3 = lambda c: (F.col("a_" + c) + F.col("b_" + c) + F.col("c_" + c)) / 3
+    ok = (g1.between(0.7, 1.3) & g2.between(0.7, 1.3) & (same <= err) & (F.col("c_frequency") / pitch).between(1.8, 2.2) & (F.abs(g1 - g2) <= F.greatest(F.lit(0.12), mean * 0.2)) & (spread <= 0.2) & (dspread <= 0.65)
+          & (avg3("tonality") >= 0.38) & (avg3("prominence_db") >= 12))
+    score = avg3("tonality") * 30 + F.least(avg3("prominence_db"), F.lit(40.0)) * 1.5 + X.relative_difference("c_frequency", pitch) * 80 - same * 100 - spread * 45 - dspread * 15
+    df = df.where(ok).withColumn("score", score)
+    g = df.groupBy(key).agg(F.min_by(F.struct("a_start_s", "b_start_s", "c_start_s", "score"), F.struct("c_start_s", (-F.col("score")).alias("s"), "a_start_s")).alias("p"))
+    return g.select(key, F.col("p.c_start_s").alias("raw_time"), "p.a_start_s", "p.b_start_s", X.round_us("p.score").alias("score"), F.lit("Medium").alias("confidence"), F.lit(False).alias("vote_allowed"))

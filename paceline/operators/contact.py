@@ -285,3 +285,35 @@ def observed_route(holds: DataFrame, target: int, edge: bool = False) -> DataFra
     at = F.when(F.col("hold_id") == target, F.hypot(F.col("x") - F.col("target_x"), F.col("y") - F.col("target_y")))
     g = holds.groupBy("attempt_id").agg(F.count("*").alias("holds"), F.count_distinct("hold_id").alias("_ids"), F.bool_and(ok).alias("_ok"), F.min(at).alias("_at"))
     return g.select("attempt_id", "holds", X.truthy((F.col("holds") >= 3) & (F.col("_ids") == F.col("holds")) & F.col("_ok") & (F.col("_at") <= 0.02)).alias("usable"))
+
+
+def pad_approach(frames: DataFrame, pad: tuple[float, float, float, float]) -> DataFrame:
+    """WN51: first hand that approaches a target from below and stays for two frames.
+
+    ``frames``: attempt_id, raw_time, landmarks.  What came before is a 0.8 s range frame per hand.
+    """
+    cx, cy = (pad[0] + pad[2]) / 2, (pad[1] + pad[3]) / 2
+    rx, ry = max(0.014, (pad[2] - pad[0]) / 2 + 0.008), max(0.012, (pad[3] - pad[1]) / 2 + 0.008)
+    good = lambda q: (q["visibility"] >= 0.35) & q["x"].between(0, 1) & q["y"].between(0, 1)
+    pick = lambda idx: F.filter("landmarks", lambda q: q["idx"].isin(*idx) & good(q))
+    axis = lambda xs, k: _median(F.transform(xs, lambda q: q[k]))
+    one = frames.groupBy("attempt_id", "raw_time").agg(F.first("landmarks").alias("landmarks"))
+    hands = [F.struct(F.lit(o).alias("ord"), F.lit(h).alias("hand"), F.when(F.size(pick(f)) >= 2, pick(f)).otherwise(pick((w,))).alias("hs")) for o, (h, (w, f, _)) in enumerate(HAND.items())]
+    df = one.select("attempt_id", "raw_time", pick((11, 12, 23, 24)).alias("torso"), F.explode(F.array(*hands)).alias("h"))
+    df = df.withColumns({"tx": axis(F.col("torso"), "x"), "ty": axis(F.col("torso"), "y"), "x": axis(F.col("h.hs"), "x"), "y": axis(F.col("h.hs"), "y"),
+                         "span": F.array_max(F.transform("torso", lambda q: q["y"])) - F.array_min(F.transform("torso", lambda q: q["y"]))})
+    ok = (F.size("torso") >= 3) & (F.size("h.hs") > 0) & (F.abs(F.col("tx") - cx) <= 0.1) & F.col("ty").between(cy - 0.01, cy + 0.2) & F.col("span").between(0.008, 0.16)
+    df = df.withColumns({"ok": X.truthy(ok), "d": F.hypot((F.col("x") - cx) / rx, (F.col("y") - cy) / ry), "ms": F.floor(F.col("raw_time") * 1000 + 0.5).cast("bigint"), "ord": F.col("h.ord"), "hand": F.col("h.hand")})
+    item = F.struct(F.col("raw_time").alias("t"), "x", "y", "tx", "ty", "d")
+    w = Window.partitionBy("attempt_id", "ord").orderBy("ms")
+    df = df.withColumn("p", F.when(F.col("ok"), item))
+    df = df.withColumns({"before": F.array_compact(F.collect_list("p").over(w.rangeBetween(-800, -1))), "next": F.lead("p").over(w)})
+    seq = F.concat("before", F.array("p", "next"))
+    df = df.where("p is not null and next is not null").withColumn("seq", seq)
+    pairs = F.transform(F.slice("seq", 2, F.greatest(F.size("seq") - 1, F.lit(1))), lambda q, i: F.struct(q.alias("b"), F.get("seq", i).alias("a")))
+    smooth = F.forall(pairs, lambda k: (k["b"]["t"] - k["a"]["t"] <= 0.2) & (F.hypot(k["b"]["tx"] - k["a"]["tx"], k["b"]["ty"] - k["a"]["ty"]) <= 0.055) & (F.hypot(k["b"]["x"] - k["a"]["x"], k["b"]["y"] - k["a"]["y"]) <= 0.08))
+    hit = ((F.col("d") <= 1.15) & (F.col("next.d") <= 1.4) & (F.col("next.t") - F.col("raw_time") <= 0.15) & (F.size("before") >= 3) & (F.col("raw_time") - F.get("before", F.lit(0))["t"] >= 0.18)
+           & F.exists("before", lambda q: (q["d"] >= 2) & (q["y"] > F.col("y") + 0.018)) & smooth)
+    step = F.array_max(F.transform(pairs, lambda k: k["b"]["t"] - k["a"]["t"]))
+    g = df.where(X.truthy(hit)).groupBy("attempt_id").agg(F.min_by(F.struct("raw_time", "hand", step.alias("observation_interval_s"), F.size("seq").alias("support_frames")), F.struct("ord", "raw_time")).alias("r"))
+    return g.select("attempt_id", "r.*")

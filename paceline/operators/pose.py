@@ -232,3 +232,50 @@ def solve_calibrations(calibrations: DataFrame, key: str = "calibration_id") ->
                 pts = np.stack([np.stack([b[f"c{i}x"], b[f"c{i}y"]], 1) for i in range(4)], 1).astype(float)
                 yield pd.DataFrame({key: b[key], "h": list(_solve(b, pts))})
     return good.mapInPandas(run, f"{key} bigint, h array<double>")
+
+
+def track_athlete(frames: DataFrame, backtrack: float = 0.085) -> DataFrame:
+    """JN28: which detected person is the tracked athlete, frame by frame.
+
+    ``frames``: attempt_id, raw_time, people array<struct<x,y>> (anchors inside the image), zone struct.
+    The accepted position, its time and the highest point reached are state; an attempt holds at most a few
+    hundred frames, so they are folded in time order.
+    """
+    rows = frames.groupBy("attempt_id").agg(F.sort_array(F.collect_list(F.struct("raw_time", "people"))).alias("fs"), F.max("zone").alias("zone"))
+    dist = lambda p, q: F.hypot(p["x"] - q["x"], p["y"] - q["y"])
+    null_d = F.lit(None).cast("double")
+    no_point = F.lit(None).cast("struct<x:double,y:double>")
+    out = F.array().cast("array<struct<raw_time:double,x:double,y:double,reason:string>>")
+    zero = F.struct(no_point.alias("c"), null_d.alias("t"), null_d.alias("high"), out.alias("out"))
+
+    def scored(people, to):
+        return F.array_sort(F.transform(people, lambda p: F.struct(dist(p, to).alias("s"), p["x"].alias("x"), p["y"].alias("y"))))
+
+    def verdict(p, reason):
+        return F.struct(p.alias("p"), F.lit(reason).cast("string").alias("reason") if not isinstance(reason, Column) else reason.alias("reason"))
+
+    def point(s):
+        return F.struct(s["x"].alias("x"), s["y"].alias("y"))
+
+    def follow(st, f):
+        limit = X.clamp(0.12 + (f["raw_time"] - st["t"]) * 0.45, 0.12, 0.4)
+        ok = F.filter(scored(f["people"], st["c"]), lambda q: (q["s"] <= limit) & (q["y"] <= st["high"] + backtrack))
+        a, b = F.get(ok, F.lit(0)), F.get(ok, F.lit(1))
+        tie = X.truthy(b["s"] - a["s"] < F.greatest(F.lit(0.025), a["s"] * 0.35)) & (a["s"] > F.least(F.lit(0.06), limit * 0.5))
+        return F.when(F.size(ok) == 0, verdict(no_point, "not-plausible")).when(tie, verdict(no_point, "two-equally-plausible")).otherwise(verdict(point(a), F.lit(None).cast("string")))
+
+    def acquire(f):
+        z = F.col("zone")
+        mid = F.struct(((z["x1"] + z["x2"]) / 2).alias("x"), ((z["y1"] + z["y2"]) / 2).alias("y"))
+        inside = F.filter(f["people"], lambda p: p["x"].between(z["x1"], z["x2"]) & p["y"].between(z["y1"], z["y2"]))
+        near = F.filter(f["people"], lambda p: dist(p, mid) <= F.greatest(F.lit(0.1), F.hypot(z["x2"] - z["x1"], z["y2"] - z["y1"]) * 0.75))
+        one = lambda a: point(F.get(a, F.lit(0)))
+        return X.when_chain([(F.size(inside) == 1, verdict(one(inside), F.lit(None).cast("string"))), (F.size(inside) > 1, verdict(no_point, "several-in-zone")), (F.size(near) == 1, verdict(one(near), "near-zone")),
+                             (F.size(near) > 1, verdict(no_point, "several-near-zone"))], verdict(no_point, "none-in-zone"))
+
+    def step(st, f):
+        v = F.when(F.size(f["people"]) == 0, verdict(no_point, "nobody")).when(st["c"].isNotNull(), follow(st, f)).otherwise(acquire(f))
+        p = v["p"]
+        row = F.struct(f["raw_time"].alias("raw_time"), p["x"].alias("x"), p["y"].alias("y"), v["reason"].alias("reason"))
+        return F.struct(F.coalesce(p, st["c"]).alias("c"), F.when(p.isNotNull(), f["raw_time"]).otherwise(st["t"]).alias("t"), F.least(st["high"], p["y"]).alias("high"), F.concat(st["out"], F.array(row)).alias("out"))
+    return rows.select("attempt_id", F.explode(F.aggregate("fs", zero, step)["out"]).alias("o")).select("attempt_id", "o.*")
