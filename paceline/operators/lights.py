@@ -68,10 +68,12 @@ def return_state(samples: DataFrame, history: DataFrame | None = None) -> DataFr
     s = s.withColumn("_pair", pair).withColumn("_quiet", X.truthy(F.max("_pair").over(o.rowsBetween(Window.unboundedPreceding, -1)) >= F.col("raw_time") - 0.5))
     cont = X.truthy((F.lead("proj").over(o) >= F.col("onset_thr")) & F.lead("ok").over(o))
     s = s.withColumn("anchor", (F.col("idx") >= 2) & (F.col("idx") < F.col("n") - 1) & F.col("_quiet") & (F.col("proj") >= F.col("thr")) & F.col("ok") & (F.col("dir") | cont))
-    item = F.struct(F.col("raw_time").alias("t"), F.col("proj").alias("p"), "ok", (F.col("dir") & F.col("ok")).alias("d"), "idx")
+    s = s.withColumn("_q", X.truthy((F.lag("proj", 1).over(o) < F.col("onset_thr")) & (F.lag("proj", 2).over(o) < F.col("onset_thr"))))
+    item = F.struct(F.col("raw_time").alias("t"), F.col("proj").alias("p"), "ok", (F.col("dir") & F.col("ok")).alias("d"), "idx", F.col("_q").alias("q"))
     r = a.orderBy("ms")
-    s = s.withColumns({"_f": F.collect_list(item).over(r.rangeBetween(0, AHEAD_MS)), "_back": F.collect_list(item).over(r.rangeBetween(-BACK_MS, -1)),
-                       "_p1": F.lag("proj", 1).over(o)}).where("anchor")
+    s = s.withColumns({"_f": F.collect_list(item).over(r.rangeBetween(0, AHEAD_MS)), "_back": F.collect_list(item).over(r.rangeBetween(-BACK_MS, -1))}).where("anchor")
+    # the frames are whole milliseconds; the bounds themselves are seconds
+    s = s.withColumns({"_f": F.filter("_f", lambda q: q["t"] <= F.col("raw_time") + AHEAD_MS / 1000), "_back": F.filter("_back", lambda q: q["t"] >= F.col("raw_time") - BACK_MS / 1000)})
     ratio = F.when(F.col("step") >= 0.15, 0.6).otherwise(0.62)
 
     def verified(end, k):
@@ -88,29 +90,22 @@ def return_state(samples: DataFrame, history: DataFrame | None = None) -> DataFr
     support = F.size(F.filter("_v", lambda q: (q["p"] >= F.col("thr")) & q["d"]))
     s = s.where(F.col("_w.ok") & (F.element_at("_v", -1)["t"] - F.col("_w.t") <= reach + 1e-9) & (support >= 2))
     # faint precursor: walk back at most 0.42 s, one miss in a row allowed, with two quiet samples before it
-    zero = F.struct(F.col("raw_time").alias("t"), F.col("idx").alias("i"), F.lit(1).alias("k"), F.lit(0).alias("miss"), F.lit(False).alias("stop"))
+    zero = F.struct(F.col("raw_time").alias("t"), F.col("idx").alias("i"), F.lit(1).alias("k"), F.lit(0).alias("miss"), F.lit(False).alias("stop"), F.lit(False).alias("q"))
 
     def back(c, q):
         on = ~c["stop"] & (q["p"] >= F.col("onset_thr")) & q["ok"]
         miss = F.when(on, 0).otherwise(c["miss"] + 1)
-        return F.struct(F.when(on, q["t"]).otherwise(c["t"]).alias("t"), F.when(on, q["idx"]).otherwise(c["i"]).alias("i"), (c["k"] + on.cast("int")).alias("k"), miss.cast("int").alias("miss"), (c["stop"] | (miss > 1)).alias("stop"))
+        return F.struct(F.when(on, q["t"]).otherwise(c["t"]).alias("t"), F.when(on, q["idx"]).otherwise(c["i"]).alias("i"), (c["k"] + on.cast("int")).alias("k"), miss.cast("int").alias("miss"), (c["stop"] | (miss > 1)).alias("stop"), F.when(on, q["q"]).otherwise(c["q"]).alias("q"))
     s = s.withColumn("_o", F.aggregate(F.reverse("_back"), zero, back))
     s = s.withColumn("_pre", (F.col("step") <= 0.075) & (F.col("_o.i") < F.col("idx")) & (F.col("_o.i") >= 2) & (F.col("_o.k") >= 3))
-    quiet = samples_before(s)
     n = F.size("_v")
     strong = F.size(F.filter("_v", lambda q: q["p"] >= F.col("thr")))
     peak = F.array_max(F.transform("_v", lambda q: q["p"]))
     conf = F.when((peak >= F.greatest(F.col("confirm") * 1.2, F.col("learned") * 0.34)) & (strong >= F.ceil(n * 0.42)) & (support >= F.ceil(n * 0.2)), "High").otherwise("Medium")
-    return s.select("attempt_id", X.round_ms(F.when(F.col("_pre") & quiet, F.col("_o.t")).otherwise(F.col("raw_time"))).alias("onset_s"), F.col("raw_time").alias("strict_s"), conf.alias("confidence"),
+    return s.select("attempt_id", X.round_ms(F.when(F.col("_pre") & F.col("_o.q"), F.col("_o.t")).otherwise(F.col("raw_time"))).alias("onset_s"), F.col("raw_time").alias("strict_s"), conf.alias("confidence"),
                     X.round_ms(peak + strong).alias("score"), strong.alias("persistence"), "in_after")
 
 
-def samples_before(s: DataFrame) -> Column:
-    """Were the two samples before a precursor quiet?  They lie in the look-back array, or the precursor opens it."""
-    two = F.filter("_back", lambda q: q["idx"].between(F.col("_o.i") - 2, F.col("_o.i") - 1))
-    return (F.size(two) == 2) & F.forall(two, lambda q: q["p"] < F.col("onset_thr"))
-
-
 def first_return(candidates: DataFrame) -> DataFrame:
     """The earliest candidate of an attempt is its finish."""
     return candidates.groupBy("attempt_id").agg(F.min(F.struct("onset_s", "strict_s", "confidence", "score")).alias("c"), F.count("*").alias("candidates")).select("attempt_id", F.col("c.onset_s").alias("finish_s"), "c.confidence", "candidates")
