@@ -104,9 +104,13 @@ def tracking_status(ref_usable, ref_requested, valid, requested) -> Column:
     return F.when(rc.isNull(), "unbaselined").when(X.c(valid) < 3, "availability-loss").when(oc < rc - 0.2, "coverage-loss").otherwise("retained")
 
 
+# Fixed value: how the status text of a stopped analysis begins.
+STOPPED = r"(?i)^(?:Quick Analyze|Reviewed-start analysis) stopped(?:[.:]|$)"
+
+
 def analysis_failed(status) -> Column:
-    """FN22: the status text of a stopped analysis."""
-    return F.coalesce(F.trim(X.c(status)).rlike(r"(?i)^(?:Quick Analyze|Reviewed-start analysis) stopped(?:[.:]|$)"), F.lit(False))
+    """FN22."""
+    return F.coalesce(F.trim(X.c(status)).rlike(STOPPED), F.lit(False))
 
 
 def known_failure_status(cases: DataFrame, outcomes: DataFrame) -> DataFrame:
