@@ -170,3 +170,93 @@ def calibrated_verdict(departures: DataFrame, required: int, search_start: float
     d, n = F.col("colour_delta"), F.col("confirmation_frames")
     conf = X.when_chain([(edge | (d < 12), "Low"), ((d >= 35) & (F.col("advantage") >= d * 0.2) & (n >= required), "High"), ((d >= 18) & (n >= min(2, required)), "Medium")], F.lit("Low"))
     return departures.select("attempt_id", "onset_s", "confirmed_s", conf.alias("confidence"), edge.alias("boundary_risk"), (~edge & (n >= required)).alias("selected"))
+
+
+LOOK_BACK, LOOK_AHEAD, VERIFY_S = 10, 12, 0.5
+
+
+def _signal(main: Column, a: Column, b: Column) -> Column:
+    total = main + a + b
+    return F.greatest(main - F.greatest(a, b), F.when(total > 0, (main - F.greatest(a, b)) / total).otherwise(0.0) * 180)
+
+
+def _opponent(c: Column) -> Column:
+    total = c["r"] + c["g"] + c["b"]
+    return F.when(total > 0, (c["g"] - c["b"]) / total * 180).otherwise(0.0)
+
+
+def _mean_colour(items: Column, field: str) -> Column:
+    zero = F.struct(*[F.lit(0.0).alias(k) for k in "rgb"])
+    mean = lambda s, k: F.floor(s[k] / F.greatest(F.size(items), F.lit(1)) + 0.5).cast("double").alias(k)
+    return F.aggregate(items, zero, lambda s, q: F.struct(*[(s[k] + q[field][k]).alias(k) for k in "rgb"]), lambda s: F.struct(*[mean(s, k) for k in "rgb"]))
+
+
+def _median_of(xs: Column) -> Column:
+    s = F.array_sort(xs)
+    return (F.get(s, F.floor((F.size(s) - 1) / 2).cast("int")) + F.get(s, F.floor(F.size(s) / 2).cast("int"))) / 2
+
+
+def patch_transitions(patches: DataFrame, width: int, height: int) -> DataFrame:
+    """WN35: patches that leave a stable green for a durable blue, with the colour of the whole frame removed.
+
+    ``patches``: recording_id, x, y, radius, t, rgb (patch mean), frame_rgb (frame mean).  Look-back is ten
+    and look-ahead twelve frames, both row frames inside a patch.  The earliest proven change of a patch
+    counts.  This is the unguided scan: it knows neither an expected time nor a body region.
+    """
+    key = ["recording_id", "x", "y", "radius"]
+    p = Window.partitionBy(*key)
+    o = p.orderBy("t")
+    c, g = F.col("rgb"), F.col("frame_rgb")
+    s = patches.withColumns({"idx": F.row_number().over(o) - 1, "n": F.count("*").over(p), "gs": _signal(c["g"], c["r"], c["b"]), "bs": _signal(c["b"], c["r"], c["g"]), "corr": _opponent(c) - _opponent(g)}).where("n >= 6")
+    s = s.withColumns({"blue": (F.col("bs") >= 0.5) & (F.col("rgb.b") >= 8), "green": (F.col("gs") >= 0.5) & (F.col("rgb.g") >= 8)})
+    rest = o.rowsBetween(0, Window.unboundedFollowing)
+    stop = F.min(F.when(~F.col("blue"), F.col("idx"))).over(rest)
+    item = F.struct("idx", "t", "rgb", "frame_rgb", "green", "gs", "corr")
+    s = s.withColumns({"run": F.coalesce(stop, F.col("n")) - F.col("idx"), "tail": F.count_if(F.col("blue") & (F.col("idx") >= F.col("n") - 4)).over(rest), "near": F.count("*").over(o.rowsBetween(0, LOOK_AHEAD - 1)),
+                       "lit": F.collect_list(F.when(F.col("blue"), item)).over(o.rowsBetween(0, LOOK_AHEAD - 1)), "past": F.collect_list(item).over(o.rowsBetween(-LOOK_BACK, -1))})
+    ratio = F.size("lit") / F.col("near")
+    ends = F.col("n") - F.greatest(F.col("idx"), F.col("n") - 4)
+    s = s.withColumn("ratio", ratio).where((F.col("idx") >= 2) & (F.col("bs") >= 0.65) & (F.col("rgb.b") >= 8) & (F.col("run") >= F.least(F.lit(2), F.col("n") - F.col("idx")))
+                                           & (F.col("ratio") >= 0.55) & ((F.col("tail") >= F.greatest(F.lit(1), F.ceil(ends * 0.5))) | (F.col("run") >= 10)))
+    greens = F.slice(F.array_sort(F.transform(F.filter("past", lambda q: q["green"]), lambda q: F.struct((-q["gs"]).alias("o"), q["idx"].alias("i"), q["rgb"].alias("rgb"), q["frame_rgb"].alias("frame_rgb"), q["corr"].alias("corr")))), 1, 5)
+    s = s.withColumn("base", greens).withColumn("after", F.slice("lit", 1, 6))
+    s = s.withColumns({"base_rgb": _mean_colour(F.col("base"), "rgb"), "after_rgb": _mean_colour(F.col("after"), "rgb"), "base_all": _mean_colour(F.col("base"), "frame_rgb"), "after_all": _mean_colour(F.col("after"), "frame_rgb")})
+    local = _opponent(F.col("base_rgb")) - _opponent(F.col("after_rgb"))
+    b = F.col("base_rgb")
+    s = s.withColumns({"local": local, "shift": local - (_opponent(F.col("base_all")) - _opponent(F.col("after_all"))), "base_green": _signal(b["g"], b["r"], b["b"]), "delta": X.rgb_distance("base_rgb", "after_rgb"),
+                       "centre": _opponent(b) - _opponent(F.col("base_all"))})
+    lum = lambda v: X.luminance(f"{v}.r", f"{v}.g", f"{v}.b")
+    s = s.withColumn("_ok", (F.size("base") >= 2) & (F.col("base_green") >= 0.65) & (b["g"] >= 8) & (F.col("delta") >= 3) & (F.col("local") >= 0.9) & (F.col("shift") >= F.greatest(F.lit(0.6), F.col("local") * 0.18))
+                & (F.col("after_rgb.b") >= b["b"] - 2) & (lum("after_rgb") >= lum("base_rgb") * 0.65))
+    s = s.withColumn("_d", F.transform("base", lambda q: F.abs(q["corr"] - F.col("centre"))))
+    s = s.withColumn("_m", _median_of(F.col("_d")))
+    s = s.withColumn("_mad", _median_of(F.transform("_d", lambda v: F.abs(v - F.col("_m")))))
+    s = s.withColumns({"leave": F.greatest(F.lit(0.45), F.col("shift") * 0.04, F.col("_m") + F.greatest(F.lit(0.3), F.col("_mad") * 4)), "calm": F.greatest(F.lit(0.6), F.col("shift") * 0.035, F.col("_m") + F.col("_mad") * 3),
+                       "view": F.concat("past", F.array(item))})
+    gone = lambda q: F.col("centre") - q["corr"] >= F.col("leave")
+    still = lambda q: q["green"] & (F.abs(q["corr"] - F.col("centre")) <= F.col("calm"))
+
+    def starts(q, j):
+        ahead = F.slice("view", j + 1, 3)
+        quiet = F.when(j >= 2, still(F.get("view", j - 2)) & still(F.get("view", j - 1))).otherwise(F.lit(False))
+        return quiet & (q["t"] >= F.col("t") - VERIFY_S) & gone(q) & (F.size(F.filter(ahead, gone)) >= F.least(F.lit(2), F.size(ahead)))
+    s = s.withColumn("_at", F.array_position(F.transform("view", starts), F.lit(True)).cast("int")).withColumn("on", F.get("view", F.col("_at") - 1)).withColumn("_hit", X.truthy(F.col("_ok") & (F.col("_at") > 0)))
+    y = F.col("y") / height
+    score = (F.least("base_green", F.lit(30.0)) * 0.7 + F.least("bs", F.lit(30.0)) * 0.9 + F.least("delta", F.lit(50.0)) * 0.25 + F.least("shift", F.lit(30.0)) * 4 + F.col("ratio") * 30 - F.col("radius") * 1.5
+             - (F.col("t") - F.col("on.t")) * 20 + y * 26 - F.when(y < 0.12, 28.0).otherwise(0.0))
+    conf = X.when_chain([((y >= 0.2) & (F.col("base_green") >= 18) & (F.col("bs") >= 14) & (F.col("delta") >= 35) & (F.col("ratio") >= 0.75) & (F.col("shift") >= 12), "High"),
+                         ((y >= 0.2) & (F.col("base_green") >= 3) & (F.col("bs") >= 2.5) & (F.col("delta") >= 8) & (F.col("shift") >= 3), "Medium")], F.lit("Low"))
+    first = F.min_by(F.struct(score.alias("score"), F.col("on.t").alias("onset_s"), F.col("on.idx").alias("frame"), F.col("t").alias("verified_s"), conf.alias("confidence"), "base_rgb", "after_rgb"), F.when(F.col("_hit"), F.col("idx")))
+    return s.groupBy(*key).agg(first.alias("c")).where("c is not null").select(*key, "c.*")
+
+
+def separate_patches(found: DataFrame, width: int, height: int, keep: int = 4) -> DataFrame:
+    """TOP5 for patches: best first, near ones at about the same frame are the same light.
+
+    A frame has a fixed number of patch positions, so the folded list is bounded by the grid.
+    """
+    item = F.struct((-F.col("score")).alias("o"), "x", "y", "radius", "frame", "onset_s", "verified_s", "confidence", "base_rgb", "after_rgb")
+    g = found.groupBy("recording_id").agg(F.sort_array(F.collect_list(item)).alias("items"))
+    same = lambda a, b: (F.hypot((a["x"] - b["x"]) / width, (a["y"] - b["y"]) / height) < 0.1) & (F.abs(a["frame"] - b["frame"]) <= 2)
+    kept = F.aggregate("items", F.slice("items", 1, 0), lambda k, q: F.when((F.size(k) >= 6) | F.exists(k, lambda e: same(e, q)), k).otherwise(F.concat(k, F.array(q))))
+    return g.select("recording_id", F.posexplode(F.slice(kept, 1, keep)).alias("place", "c")).select("recording_id", "place", "c.x", "c.y", "c.radius", "c.onset_s", "c.verified_s", "c.confidence", X.round_ms(-F.col("c.o")).alias("score"))

@@ -48,3 +48,16 @@ def set6(spark, sf):
     """Two warning lists of an order, joined without repeats (first seen first; sorted only to compare)."""
     g = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.collect_set("l_returnflag").alias("a"), F.collect_set("l_linestatus").alias("b"))
     return g.select("l_orderkey", F.array_sort(F.array_distinct(F.concat("a", "b"))).alias("warnings"))
+
+
+@query("wn35")
+def wn35(spark, sf):
+    """Each recording shows its light at one position and a grey wall at another."""
+    c = V.colours(spark, sf)
+    rgb = lambda r, g, b: F.struct(r.alias("r"), g.alias("g"), b.alias("b"))
+    wall = F.lit(100.0) + F.col("ms") % 7
+    light = F.struct(F.lit(10).alias("x"), rgb(F.col("r"), F.greatest(F.col("g"), F.col("b") - 80.0), F.col("b")).alias("rgb"))
+    grey = F.struct(F.lit(30).alias("x"), rgb(wall, wall, wall).alias("rgb"))
+    p = c.select(F.col("attempt_id").alias("recording_id"), F.col("raw_time").alias("t"), rgb(wall, wall, wall).alias("frame_rgb"), F.explode(F.array(light, grey)).alias("p"))
+    p = p.select("recording_id", "p.x", F.lit(20).alias("y"), F.lit(1).alias("radius"), "t", "p.rgb", "frame_rgb")
+    return L.separate_patches(L.patch_transitions(p, 40, 24), 40, 24)

@@ -100,3 +100,43 @@ def test_departure_matches_the_loop(spark):
     got = {r.attempt_id: (r.onset_s, r.confirmed_s, r.confirmation_frames) for r in L.verified_departure(series(spark, runs), 3).collect()}
     want = {s: departure(p, 3) for s, p in runs.items() if departure(p, 3)}
     assert got == want and len(want) > 20
+
+
+PATCH = "recording_id long, x int, y int, radius int, t double, rgb struct<r:double,g:double,b:double>, frame_rgb struct<r:double,g:double,b:double>"
+
+
+BLUE = (70.0, 120.0, 200.0)  # bright enough to be the same lamp
+
+
+def lamp(f, r):
+    return tuple(b + (a - b) * f + r.uniform(-2, 2) for b, a in zip(BEFORE, BLUE))
+
+
+def scan(rec, seed, at, x=10, y=20, drift=False, flash=False, flip=False):
+    """A patch at 5 fps; with drift the whole frame turns with it."""
+    r = random.Random(seed)
+    rows = []
+    for i in range(50):
+        t = i * 0.2
+        f = 1.0 if t >= at else 0.0
+        if flash:
+            f = 1.0 if at <= t < at + 0.3 else 0.0
+        c = lamp(1 - f if flip else f, r)
+        rows.append((rec, x, y, 1, t, c, c if drift else (110.0, 110.0, 110.0)))
+    return rows
+
+
+def test_patch_discovery(spark):
+    rows = []
+    for s in range(6):
+        rows += scan(s, s, 4.0 + s * 0.2)
+    rows += scan(10, 1, 4.0, drift=True) + scan(11, 2, 99.0) + scan(12, 3, 4.0, flash=True) + scan(13, 4, 4.0, flip=True)
+    rows += scan(14, 5, 4.0) + scan(14, 6, 4.0, x=12) + scan(14, 7, 6.0, x=30)
+    found = L.patch_transitions(spark.createDataFrame(rows, PATCH), 40, 24)
+    got = {}
+    for q in L.separate_patches(found, 40, 24).collect():
+        got.setdefault(q.recording_id, []).append(q)
+    assert set(got) == {0, 1, 2, 3, 4, 5, 14}
+    for s in range(6):
+        assert abs(got[s][0].onset_s - (4.0 + s * 0.2)) < 1e-6 and got[s][0].confidence == "High"
+    assert sorted(q.x > 20 for q in got[14]) == [False, True]
