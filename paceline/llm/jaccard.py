@@ -17,16 +17,84 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paceline.llm.common import WordHashes, components, cut, mixed, partitions, row_key, text_batches
+from paceline.llm.common import WordHashes, components, cut, mixed, partitions, row_key, text_batches, whole_groups
 from paceline.llm.shingles import fingerprints, shingle_sets
 
 #: Sizes of a band differ by this factor at most.
 BAND_RATIO = 1.5
-#: The cost model: chance that a shingle of one set is in another that it isn't linked with, and what verifying a pair
-#: costs, in signatures.
-SHARED_BY_CHANCE, VERIFY_COST = 0.1, 50.0
+#: The cost model: chance that a shingle of one set is in another that it isn't linked with, and what a pair costs, in
+#: signatures (most fall to the bound of their sketches).
+SHARED_BY_CHANCE, PAIR_COST = 0.01, 1.0
+#: A sketch counts a set's shingles in this many cells; the counts' differences bound the sets' difference from below.
+CELLS = 128
 #: Signatures of a bucket, about, and signatures gathered in a task before they are dealt out.
 BUCKET_SIGNATURES, FLUSH_SIGNATURES = 100_000, 1_000_000
+#: Keys that a node shares with the smallest node of their buckets to be in its block; nodes and shingles of a block, about.
+STRONG_VOTES, BLOCK_NODES, BLOCK_SHINGLES = 3, 1024, 500_000
+#: Columns of the dense matrices that blocks are compared by.
+MATRIX_COLUMNS = 4096
+
+
+def sketch(values: np.ndarray) -> bytes:
+    return np.minimum(np.bincount((mixed(values) >> np.uint64(57)).astype(np.int64), minlength=CELLS), 255).astype(np.uint8).tobytes()
+
+
+def may_link(group: pd.DataFrame, percent: int) -> np.ndarray:
+    """Rows of two blocks (or of one) that may link with a row of another label, going by sizes and sketches."""
+    cells = np.frombuffer(b"".join(group["sketch"]), np.uint8).reshape(len(group), CELLS).astype(np.int16)
+    sizes, labels, block = group["n"].to_numpy(), group["label"].to_numpy(), group["block"].to_numpy()
+    left, right = np.flatnonzero(block == group["lo"].iloc[0]), np.flatnonzero(block == group["hi"].iloc[0])
+    keep = np.zeros(len(group), bool)
+    for at in range(0, len(left), 32):
+        some = left[at : at + 32]
+        total = sizes[some][:, None] + sizes[right][None, :]
+        low = np.abs(cells[some][:, None, :] - cells[right][None, :, :]).sum(2)
+        good = (low * (100 + percent) <= total * (100 - percent)) & (labels[some][:, None] != labels[right][None, :])
+        keep[some] |= good.any(1)
+        keep[right] |= good.any(0)
+    return keep
+
+
+def bridges_between(group: pd.DataFrame, percent: int) -> tuple[list[int], list[int]]:
+    """Labels of linked rows of two blocks (or inside one), as few pairs as connect the same labels."""
+    sets = [np.frombuffer(x, np.uint64) for x in group["shingles"]]
+    sizes = np.array([len(x) for x in sets])
+    tokens, inverse, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    column = np.where(counts > 1, np.cumsum(counts > 1) - 1, -1)[inverse]
+    row = np.repeat(np.arange(len(sets)), sizes)
+    kept = column >= 0
+    row, column = row[kept], column[kept]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    labels, block = group["label"].to_numpy(), group["block"].to_numpy()
+    lo, hi = group["lo"].iloc[0], group["hi"].iloc[0]
+    left, right = np.flatnonzero(block == lo), np.flatnonzero(block == hi)
+    common = np.zeros((len(left), len(right)), np.float64)
+    width = int(column[-1]) + 1 if len(column) else 0
+    for at in range(0, width, MATRIX_COLUMNS):
+        a, b = np.searchsorted(column, [at, at + MATRIX_COLUMNS])
+        dense = np.zeros((len(sets), min(MATRIX_COLUMNS, width - at)), np.float32)
+        dense[row[a:b], column[a:b] - at] = 1
+        common += dense[left] @ dense[right].T
+    union = sizes[left][:, None] + sizes[right][None, :] - common
+    x, y = np.nonzero((100 * common >= percent * union) & (labels[left][:, None] != labels[right][None, :]))
+    a, b = labels[left[x]], labels[right[y]]
+    parent: dict[int, int] = {}
+
+    def root(v: int) -> int:
+        while parent.setdefault(v, v) != v:
+            parent[v] = parent[parent[v]]
+            v = parent[v]
+        return v
+
+    out: tuple[list[int], list[int]] = ([], [])
+    for p, q in dict.fromkeys(zip(a.tolist(), b.tolist(), strict=True)):
+        rp, rq = root(p), root(q)
+        if rp != rq:
+            parent[max(rp, rq)] = min(rp, rq)
+            out[0].append(p)
+            out[1].append(q)
+    return out
 
 
 def band_edges(percent: int, largest: int = 1 << 40) -> list[tuple[int, int]]:
@@ -40,15 +108,13 @@ def band_edges(percent: int, largest: int = 1 << 40) -> list[tuple[int, int]]:
 
 @dataclass(frozen=True)
 class Scheme:
-    """Segments of a band: the first `doubled` of them also index one-deletion neighbourhoods; slack: matches to spare."""
+    """Segments of a band: the first `doubled` of them also index one-deletion neighbourhoods. Rows with at most `slack`
+    matches' worth of segments of up to `weak` shingles leave those segments out."""
 
     segments: int
     doubled: int
     slack: int
-
-    @property
-    def signatures(self) -> float:
-        return self.segments
+    weak: int
 
 
 def most_different(low_size: int, percent: int) -> int:
@@ -61,21 +127,24 @@ def allocate(low: int, high: int, rows: int, percent: int) -> Scheme:
     """The cheapest scheme of a band that holds that many sets: signatures, and pairs that agree by chance."""
     allowed = most_different(high, percent)
     if not allowed:
-        return Scheme(0, 0, 0)
+        return Scheme(0, 0, 0, 0)
     best = None
     for doubled in sorted({0, (allowed + 1) // 8, (allowed + 1) // 4, (allowed + 1) // 2}):
-        for slack in range(16):
-            segments = allowed + 1 + slack - doubled
-            empty = segments * math.exp(-low / segments)
-            if slack >= empty + 1.5 * math.sqrt(empty):
-                break
-        each = high / segments
-        signatures = segments + doubled * each
-        chance = SHARED_BY_CHANCE ** (low / segments)
-        cost = rows * (signatures + rows * segments * chance * VERIFY_COST / 2)
-        if best is None or cost < best[0]:
-            best = (cost, Scheme(segments, doubled, slack))
-    return best[1]
+        for weak in range(4):
+            for slack in range(0, 2 * allowed + 12, 1 + allowed // 40):
+                segments = allowed + 1 + slack - doubled
+                each = low / segments
+                poisson = [math.exp(-each) * each**k / math.factorial(k) for k in range(weak + 30)]
+                small = segments * sum(poisson[: weak + 1])
+                if slack >= small + 2 * math.sqrt(small):
+                    break
+            else:
+                continue
+            chance = sum(p * SHARED_BY_CHANCE**k for k, p in enumerate(poisson) if k > weak)
+            cost = rows * (segments + doubled * high / segments + rows * segments * chance * PAIR_COST / 2)
+            if best is None or cost < best[0]:
+                best = (cost, Scheme(segments, doubled, slack, weak))
+    return best[1] if best else Scheme(allowed + 1, 0, 0, 0)
 
 
 def signatures(values: np.ndarray, counts: np.ndarray, scheme_of: np.ndarray, schemes: list[Scheme]) -> tuple[np.ndarray, np.ndarray]:
@@ -83,6 +152,7 @@ def signatures(values: np.ndarray, counts: np.ndarray, scheme_of: np.ndarray, sc
     number = np.array([s.segments for s in schemes] + [0], np.int64)[scheme_of]
     doubled = np.array([s.doubled for s in schemes] + [0], np.int64)[scheme_of]
     slack = np.array([s.slack for s in schemes] + [0], np.int64)[scheme_of]
+    least = np.array([s.weak for s in schemes] + [0], np.int64)[scheme_of]
     row = np.repeat(np.arange(len(counts)), counts)
     kept = number[row] > 0
     row, tokens = row[kept], mixed(values[kept] ^ np.uint64(0x5851F42D4C957F2D))
@@ -95,13 +165,14 @@ def signatures(values: np.ndarray, counts: np.ndarray, scheme_of: np.ndarray, sc
     owner = np.repeat(np.arange(len(counts)), number)
     place = np.arange(len(sums)) - first[owner]
     double = place < doubled[owner]
-    # Credits of segments that could match with nothing in them: only rows with more of them than slack index the empty ones.
-    weak = np.where(double, 2 * (sizes <= 1), sizes == 0)
-    lean = np.bincount(owner, weights=weak, minlength=len(counts)) > slack
+    # A linked pair agrees on slack + 1 matches' worth of segments at least. A row with no more than slack in small ones
+    # can leave these out; any other row indexes them all, empty ones too, and so meets the others of its kind.
+    weak = np.where(double, 2 * (sizes <= least[owner] + 1), sizes <= least[owner])
+    full = np.bincount(owner, weights=weak, minlength=len(counts)) > slack
     salt = mixed((scheme_of[owner].astype(np.uint64) << np.uint64(32)) + place.astype(np.uint64))
-    whole = (sizes > 0) | lean[owner]
+    whole = (sizes > least[owner]) | full[owner]
     keys, rows = [mixed(sums[whole] ^ salt[whole])], [owner[whole]]
-    less = double[flat] & ((sizes[flat] > 1) | lean[row])
+    less = double[flat] & ((sizes[flat] > least[row] + 1) | full[row])
     if less.any():
         at = flat[less]
         keys.append(mixed((sums[at] - tokens[less]) ^ salt[at]))
@@ -120,8 +191,8 @@ def near_duplicate_notes(attempts: DataFrame, attempt_id: str = "attempt_id", no
     hashes of shingles.
 
     Work: notes with equal sets are one node. In each bucket the nodes are compared with its smallest one, best shared
-    first; after that only pairs of a bucket that lie in different components are left to verify, so that a group of
-    copies costs links in proportion to its size and no link between groups is missed.
+    first; after that only pairs of a bucket that lie in different components are left, and these are compared in blocks
+    inside tasks: a group of copies costs rows in proportion to its size, and no link between groups is missed.
     """
     spark = attempts.sparkSession
     edges = band_edges(percent)
@@ -222,9 +293,9 @@ def near_duplicate_notes(attempts: DataFrame, attempt_id: str = "attempt_id", no
             values, counts = shingle_sets(words, shingle_words, known)
             ends = np.cumsum(counts)
             same = fingerprints(values, counts).view(np.int64) == frame["node"].to_numpy()
-            yield pd.DataFrame({"node": frame["node"], "n": counts, "shingles": [values[e - c : e].tobytes() for e, c in zip(ends, counts, strict=True)]})[same]
+            yield pd.DataFrame({"node": frame["node"], "n": counts, "shingles": [values[e - c : e].tobytes() for e, c in zip(ends, counts, strict=True)], "sketch": [sketch(values[e - c : e]) for e, c in zip(ends, counts, strict=True)]})[same]
 
-    loaded = cut(rows.select("rk", "text").join(source.select("rk", "node"), "rk").mapInPandas(load, "node long, n long, shingles binary").dropDuplicates(["node"]))
+    loaded = cut(rows.select("rk", "text").join(source.select("rk", "node"), "rk").mapInPandas(load, "node long, n long, shingles binary, sketch binary").dropDuplicates(["node"]))
     sizes = loaded.select("node", "n")
 
     def linked(pairs: DataFrame) -> DataFrame:
@@ -250,17 +321,41 @@ def near_duplicate_notes(attempts: DataFrame, attempt_id: str = "attempt_id", no
     stars = components(linked(first))
     label = cut(nodes.join(stars, "node", "left").select("node", F.coalesce("component", "node").alias("label")))
 
-    # What is left: pairs of a bucket that lie in different components.
-    marked = shared.join(label, "node")
-    mixed_keys = marked.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
-    rest = marked.join(mixed_keys, "key", "left_semi").join(sizes, "node")
-    a = rest.select("key", F.col("node").alias("a"), F.col("label").alias("la"), F.col("n").alias("na"))
-    b = rest.select("key", F.col("node").alias("b"), F.col("label").alias("lb"), F.col("n").alias("nb"))
-    cross = a.join(b, "key").where(f"la < lb and 100 * least(na, nb) >= {percent} * greatest(na, nb)").select("a", "b").distinct()
-    tried = first.select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi"))
-    cross = cross.withColumns({"lo": F.least("a", "b"), "hi": F.greatest("a", "b")}).join(tried, ["lo", "hi"], "left_anti").select("a", "b")
-    bridges = linked(cross).join(label.select(F.col("node").alias("a"), F.col("label").alias("la")), "a").join(label.select(F.col("node").alias("b"), F.col("label").alias("lb")), "b")
-    joined = components(bridges.select(F.col("la").alias("a"), F.col("lb").alias("b")))
+    # What is left: pairs of a bucket that lie in different components. Nodes that share several keys with the same
+    # smallest node form a block; two blocks that meet under a key are compared as matrices, and only links that
+    # connect something are returned.
+    several = components(votes.where(f"c >= {STRONG_VOTES}").select(F.col("leader").alias("a"), F.col("node").alias("b")))
+    rooted = label.join(several.withColumnRenamed("component", "root"), "node", "left").withColumn("root", F.coalesce("root", "node")).join(sizes, "node")
+    parts = rooted.groupBy("root").agg(F.greatest(F.ceil(F.count("*") / BLOCK_NODES), F.ceil(F.sum("n") / BLOCK_SHINGLES)).alias("parts"))
+    blocks = cut(rooted.join(parts, "root").select("node", "label", "n", F.xxhash64("root", F.pmod(F.xxhash64("node"), "parts")).alias("block")))
+    marked = shared.join(blocks.select("node", "label", "block"), "node")
+    unsettled = marked.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.collect_set("block").alias("others")).where("lo < hi").select("key", "others")
+    met = marked.join(unsettled, "key").select("node", "block", F.explode("others").alias("other"))
+    sides = met.select(F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "node", "block").distinct()
+    sketched = sides.withColumn("pair", F.xxhash64("lo", "hi")).join(blocks.select("node", "label", "n"), "node").join(loaded.select("node", "sketch"), "node")
+
+    def sieve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in whole_groups(batches, "pair", 4096):
+            order = np.argsort(frame["pair"].to_numpy(), kind="stable")
+            pair = frame["pair"].to_numpy()[order]
+            keep = np.zeros(len(frame), bool)
+            for rows_of in np.split(order, np.flatnonzero(pair[1:] != pair[:-1]) + 1):
+                keep[rows_of] = may_link(frame.iloc[rows_of], percent)
+            if keep.any():
+                yield frame.loc[keep, ["pair", "lo", "hi", "block", "label", "node"]]
+
+    sieved = sketched.repartition("pair").sortWithinPartitions("pair").mapInPandas(sieve, "pair long, lo long, hi long, block long, label long, node long")
+    work = sieved.join(loaded.select("node", "shingles"), "node")
+
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in whole_groups(batches, "pair", 256):
+            for _, group in frame.groupby("pair", sort=False):
+                a, b = bridges_between(group, percent)
+                if len(a):
+                    yield pd.DataFrame({"a": a, "b": b})
+
+    bridges = work.select("pair", "lo", "hi", "block", "label", "shingles").repartition("pair").sortWithinPartitions("pair").mapInPandas(compare, "a long, b long")
+    joined = components(bridges)
     final = label.join(joined.select(F.col("node").alias("label"), "component"), "label", "left").select("node", F.coalesce("component", "label").alias("group"))
 
     grouped = sets.join(final, "node", "left").withColumn("group", F.when(F.col("n") > 0, F.coalesce("group", "node")))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paceline.llm.jaccard import near_duplicate_notes
+from paceline.llm.passages import remove_repeated_passages
 from paceline.llm.registry import query
 
 
@@ -35,3 +36,23 @@ SELECT doc_id, len(s)::BIGINT AS n_shingles, least(doc_id, coalesce((SELECT min(
 def op2(spark: SparkSession, sf: str) -> DataFrame:
     found = near_duplicate_notes(attempts(spark, sf), shingle_words=4, percent=85)
     return found.select(F.col("attempt_id").alias("doc_id"), "n_shingles", "component_id")
+
+
+PASSAGES_SQL = r"""
+WITH words AS (
+  SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+windows AS (
+  SELECT doc_id, i, md5(array_to_string(w[i:i + 34], ' ')) AS h FROM (SELECT doc_id, w, unnest(range(1, len(w) - 33)) AS i FROM words)),
+repeated AS (SELECT h FROM windows GROUP BY h HAVING count(*) > 1),
+starts AS (SELECT doc_id, list(i) AS s FROM windows WHERE h IN (SELECT h FROM repeated) GROUP BY doc_id),
+covered AS (SELECT doc_id, list_distinct(flatten(list_transform(s, lambda i: range(i, i + 35)))) AS c FROM starts)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(len(c), 0)::BIGINT AS n_removed,
+  sha256(array_to_string(CASE WHEN c IS NULL THEN w ELSE list_transform(list_filter(range(1, len(w) + 1), lambda i: NOT list_contains(c, i)), lambda i: w[i]) END, ' ')) AS kept_sha256
+FROM words LEFT JOIN covered USING (doc_id)
+"""
+
+
+@query("op10_substring_dedup", PASSAGES_SQL)
+def op10(spark: SparkSession, sf: str) -> DataFrame:
+    found = remove_repeated_passages(attempts(spark, sf), window_words=35)
+    return found.select(F.col("attempt_id").alias("doc_id"), "n_words", "n_removed", F.sha2("notes", 256).alias("kept_sha256"))
