@@ -197,7 +197,7 @@ def near_duplicate_notes(attempts: DataFrame, attempt_id: str = "attempt_id", no
     spark = attempts.sparkSession
     edges = band_edges(percent)
     highs = np.array([h for _, h in edges])
-    rows = attempts.select(F.col(attempt_id).alias("id"), F.col(notes).cast("string").alias("text")).withColumn("rk", row_key("id", "text"))
+    rows = attempts.select(F.col(attempt_id).cast("string").alias("id"), F.col(notes).cast("string").alias("text")).withColumn("rk", row_key("id", "text"))
 
     def describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = WordHashes()
@@ -205,8 +205,8 @@ def near_duplicate_notes(attempts: DataFrame, attempt_id: str = "attempt_id", no
             values, counts = shingle_sets(words, shingle_words, known)
             yield pd.DataFrame({"id": frame["id"], "rk": frame["rk"], "n": counts, "node": fingerprints(values, counts).view(np.int64), "band": np.searchsorted(highs, counts).astype(np.int32)})
 
-    id_type = rows.schema["id"].dataType.simpleString()
-    sets = cut(rows.mapInPandas(describe, f"id {id_type}, rk long, n long, node long, band int"))
+    id_type = attempts.schema[attempt_id].dataType.simpleString()
+    sets = cut(rows.mapInPandas(describe, "id string, rk long, n long, node long, band int").withColumn("id", F.col("id").cast(id_type)))
     held = {r["band"]: r["c"] for r in sets.where("n > 0").groupBy("band").agg(F.count("*").alias("c")).collect()}
     # The smaller set of a pair decides the scheme, so a band with larger sets only is still probed from above.
     schemes = [allocate(low, high, held.get(b, 0), percent) for b, (low, high) in enumerate(edges[: max(held, default=0) + 1])]

@@ -67,16 +67,18 @@ def paired(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.unique(a * (int(b.max(initial=0)) + 1) + b, return_inverse=True)[1].astype(np.int64)
 
 
-def remove_repeated_passages(attempts: DataFrame, attempt_id: str = "attempt_id", notes: str = "notes", window_words: int = 35) -> DataFrame:
+def remove_repeated_passages(attempts: DataFrame, attempt_id: str = "attempt_id", notes: str = "notes", window_words: int = 35, carry: tuple[str, ...] = ()) -> DataFrame:
     """Notes without passages that stand elsewhere too: (attempt_id, n_words, n_removed, notes, spans).
 
     Words lie between ASCII white space and are compared unchanged. Each word covered by a window of window_words words
     whose sequence also starts at another place, in the same notes or in any others, is removed; windows are judged on
     the input. notes holds the kept words joined by one space; spans the removed stretches as (first, last) word numbers.
     Null notes have no words and give an empty text. Every row counts and is returned: a repeated row makes all its
-    windows repeat. Notes shorter than a window lose nothing. Further columns are ignored.
+    windows repeat. Notes shorter than a window lose nothing. Columns named in carry are returned as they are, behind the
+    others; further columns are ignored.
     """
-    docs = attempts.select(F.col(attempt_id).alias("id"), F.col(notes).cast("string").alias("text")).withColumn("rk", row_key("id", "text"))
+    docs = attempts.select(F.col(attempt_id).cast("string").alias("id"), F.col(notes).cast("string").alias("text"), *[F.col(c).alias(f"carried_{i}") for i, c in enumerate(carry)]).withColumn("rk", row_key("id", "text"))
+    carried = [f"carried_{i}" for i in range(len(carry))]
     places = "mini long, rk long, start int"
 
     def narrow(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -93,7 +95,7 @@ def remove_repeated_passages(attempts: DataFrame, attempt_id: str = "attempt_id"
         .groupBy("rk")
         .agg(F.collect_list(F.when(F.col("c") <= HOT, F.col("start"))).alias("cold"), F.collect_list(F.when(F.col("c") > HOT, F.col("start"))).alias("hot"))
     )
-    texts = docs.select("rk", "id", "text").repartition("rk")
+    texts = docs.select("rk", "id", "text", *carried).repartition("rk")
     marked = texts.select("rk", "text").join(suspects, "rk")
 
     def chosen(frame: pd.DataFrame, words: list[list[bytes]], column: str, known: WordHashes) -> tuple[np.ndarray, ...]:
@@ -167,11 +169,12 @@ def remove_repeated_passages(attempts: DataFrame, attempt_id: str = "attempt_id"
                 spans.append([{"first": int(a), "last": int(b) - 1} for a, b in zip(edge[::2], edge[1::2], strict=True)])
                 kept.append(b" ".join([row[i] for i in np.flatnonzero(~gone).tolist()]).decode("utf-8", "surrogatepass"))
                 lost.append(int(gone.sum()))
-            yield pd.DataFrame({"id": frame["id"], "n_words": list(map(len, words)), "n_removed": lost, "kept": kept, "spans": spans})
+            yield pd.DataFrame({"id": frame["id"], "n_words": list(map(len, words)), "n_removed": lost, "kept": kept, "spans": spans} | {c: frame[c].to_numpy() for c in carried})
 
-    kind = docs.schema["id"].dataType.simpleString()
-    out = texts.join(spans, "rk", "left").select("id", "text", "runs").mapInPandas(remove, f"id {kind}, n_words long, n_removed long, kept string, spans array<struct<first:int,last:int>>")
-    return out.select(F.col("id").alias(attempt_id), "n_words", "n_removed", F.col("kept").alias(notes), "spans")
+    kind = attempts.schema[attempt_id].dataType.simpleString()
+    types = "".join(f", {c} {docs.schema[c].dataType.simpleString()}" for c in carried)
+    out = texts.join(spans, "rk", "left").select("id", "text", "runs", *carried).mapInPandas(remove, "id string, n_words long, n_removed long, kept string, spans array<struct<first:int,last:int>>" + types)
+    return out.select(F.col("id").cast(kind).alias(attempt_id), "n_words", "n_removed", F.col("kept").alias(notes), "spans", *[F.col(f"carried_{i}").alias(c) for i, c in enumerate(carry)])
 
 
 def ascii_split(text: str) -> list[bytes]:

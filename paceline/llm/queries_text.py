@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from paceline.llm.bpe import decode_notes, encode_notes
+from paceline.llm.importance import sample_usable_notes
 from paceline.llm.jaccard import near_duplicate_notes
+from paceline.llm.leaks import find_leaked_items
 from paceline.llm.passages import remove_repeated_passages
 from paceline.llm.registry import query
 
@@ -56,3 +59,52 @@ FROM words LEFT JOIN covered USING (doc_id)
 def op10(spark: SparkSession, sf: str) -> DataFrame:
     found = remove_repeated_passages(attempts(spark, sf), window_words=35)
     return found.select(F.col("attempt_id").alias("doc_id"), "n_words", "n_removed", F.sha2("notes", 256).alias("kept_sha256"))
+
+
+def usable_labels(spark: SparkSession, sf: str) -> DataFrame:
+    """Labels of good quality without toxicity are usable."""
+    return spark.read.parquet(f"{sf}/labels.parquet").select(F.col("doc_id").alias("attempt_id"), (F.coalesce("quality", F.lit(0)) == 1).cast("int").alias("q"), "toxic").selectExpr("attempt_id", "if(q = 1 and coalesce(toxic, 0) = 0, 1, 0) as usable")
+
+
+@query("op8_quality_classifier")
+def op8(spark: SparkSession, sf: str) -> DataFrame:
+    found = sample_usable_notes(attempts(spark, sf), usable_labels(spark, sf))
+    return found.select(F.col("attempt_id").alias("doc_id"), "log_weight", "sample_key", "kept")
+
+
+LEAKS_SQL = r"""
+WITH words AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+items AS (
+  SELECT item_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM benchmark),
+held AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) AS t FROM words),
+wanted AS (SELECT DISTINCT item_id, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) AS t FROM items),
+sizes AS (SELECT item_id, count(*) AS n FROM wanted GROUP BY 1)
+SELECT doc_id, item_id, n::BIGINT AS n_shingles, count(*)::BIGINT AS n_found
+FROM held JOIN wanted USING (t) JOIN sizes USING (item_id) GROUP BY doc_id, item_id, n HAVING 100 * count(*) >= 80 * n
+"""
+
+
+def benchmark_items(spark: SparkSession, sf: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/benchmark.parquet").select(F.col("item_id").alias("case_id"), F.col("text").alias("evidence"))
+
+
+@query("op3_benchmark_decontamination", LEAKS_SQL)
+def op3(spark: SparkSession, sf: str) -> DataFrame:
+    found = find_leaked_items(attempts(spark, sf), benchmark_items(spark, sf))
+    return found.select(F.col("attempt_id").alias("doc_id"), F.col("case_id").alias("item_id"), "n_shingles", "n_found")
+
+
+def vocabulary() -> str:
+    """Where the public word-level BPE vocabulary lies."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+@query("op5_bpe_encoding_decoding")
+def op5(spark: SparkSession, sf: str) -> DataFrame:
+    path = vocabulary()
+    found = decode_notes(encode_notes(attempts(spark, sf), path), path)
+    ids = F.concat_ws(" ", F.col("token_ids").cast("array<string>"))
+    return found.select(F.col("attempt_id").alias("doc_id"), "n_tokens", F.sha2(ids, 256).alias("ids_sha256"), F.sha2("notes", 256).alias("decoded_sha256"))
