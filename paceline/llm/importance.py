@@ -13,51 +13,54 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paceline.llm.common import WordHashes, cut, hash_words, row_key, text_batches
+from paceline.llm.common import WordHashes, cut, hash_words, mixed, row_key, text_batches
 
 #: Buckets of the hashed n-grams, and how many of them travel together.
 BUCKETS, SLICE = 1 << 20, 1 << 12
-#: Standard errors by which a bucket's two models must differ; else their ratio counts as 1.
-SIGNIFICANT = 3.0
+#: Of cuts whose kept shares differ by no more than this from the best, the one that keeps most is taken.
+NEARLY_BEST = 0.005
 #: Values of a step of the search for the k-th largest key, and keys that are sorted at its end.
 STEPS, SORTED_AT_ONCE = 1024, 5_000
 
 
-class WordGrams(dict):
-    """Buckets of a word and of each five letters of it (with its bounds)."""
-
-    def __missing__(self, word: bytes) -> np.ndarray:
-        marked = b"^" + word + b"$"
-        grams = {xxhash.xxh3_64_intdigest(marked[i : i + 5], seed=5) for i in range(max(1, len(marked) - 4))}
-        out = (np.array([xxhash.xxh3_64_intdigest(word, seed=1), *grams], np.uint64) % np.uint64(BUCKETS)).astype(np.int32)
-        if len(word) <= 64:
-            if len(self) >= 200_000:
-                self.clear()
-            self[word] = out
-        return out
-
-
-def features(words: list[bytes], known: WordHashes, grams: WordGrams) -> np.ndarray:
-    """The distinct buckets of one note."""
-    if not words:
-        return np.empty(0, np.int32)
-    parts = [grams[w] for w in set(words)]
-    ids = hash_words(words, known)
-    pairs = (ids[:-1] * np.uint64(0x9E3779B97F4A7C15)) ^ (ids[1:] * np.uint64(0xC2B2AE3D27D4EB4F))
-    pairs ^= pairs >> np.uint64(31)
-    parts.append(((pairs * np.uint64(0xD6E8FEB86659FD93)) % np.uint64(BUCKETS)).astype(np.int32))
-    change = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1], [True]]))
-    longest = int(np.diff(change).max())
-    parts.append(np.array([xxhash.xxh3_64_intdigest(b"%d equal" % k) % BUCKETS for k in (4, 8) if longest >= k], np.int32))
-    return np.unique(np.concatenate(parts))
+def features(rows: list[list[bytes]], known: WordHashes) -> tuple[np.ndarray, np.ndarray]:
+    """(row, bucket) of the distinct n-grams of each row, in the order of rows."""
+    lengths = np.fromiter(map(len, rows), np.int64, len(rows))
+    ids = hash_words([w for row in rows for w in row], known)
+    row = np.repeat(np.arange(len(rows)), lengths)
+    same_row = row[1:] == row[:-1]
+    pairs = mixed((ids[:-1] * np.uint64(0x9E3779B97F4A7C15)) ^ (ids[1:] * np.uint64(0xC2B2AE3D27D4EB4F)))[same_row]
+    # Five letters of a word, its bounds (spaces) included, packed into one number.
+    texts = [b" " + b" ".join(own) + b" " if own else b"" for own in rows]
+    letters = np.frombuffer(b"".join(texts), np.uint8)
+    letter_row = np.repeat(np.arange(len(rows)), np.fromiter(map(len, texts), np.int64, len(texts)))
+    n = max(0, len(letters) - 4)
+    inner = letters != 32
+    inside = inner[1 : n + 1] & inner[2 : n + 2] & inner[3 : n + 3]
+    packed = np.zeros(n, np.uint64)
+    for j in range(5):
+        packed |= letters[j : n + j].astype(np.uint64) << np.uint64(8 * j)
+    fives = mixed(packed[inside] + np.uint64(0x9E3779B97F4A7C15))
+    equal = same_row & (ids[1:] == ids[:-1])
+    four = equal[:-2] & equal[1:-1] & equal[2:] if len(equal) > 2 else np.zeros(0, bool)
+    eight = four[:-4] & equal[3 : len(four) - 1] & four[4:] if len(four) > 4 else np.zeros(0, bool)
+    repeats = [(np.flatnonzero(x), np.uint64(v)) for x, v in ((four, 0x4444), (eight, 0x8888))]
+    rows_of = np.concatenate([row, row[1:][same_row], letter_row[:n][inside], *[row[at] for at, _ in repeats]])
+    hashes = np.concatenate([mixed(ids), pairs, fives, *[np.full(len(at), v) for at, v in repeats]])
+    keys = np.sort(rows_of * BUCKETS + (hashes % np.uint64(BUCKETS)).astype(np.int64))
+    keys = keys[np.concatenate([[True], keys[1:] != keys[:-1]])] if len(keys) else keys
+    return keys // BUCKETS, keys % BUCKETS
 
 
 def log_ratios(target: np.ndarray, raw: np.ndarray) -> np.ndarray:
-    """For each bucket the log ratio of the models, relative to the ratio that most n-grams have; 0 where it may be chance."""
+    """For each bucket the log ratio of the models, relative to the ratio that most n-grams have.
+
+    It is 0 where the Poisson deviance is below 1.5 ln(number of buckets in use), which chance exceeds in few buckets, and
+    where the two differ by less than a factor of two: many small differences would only add up with a note's length.
+    """
     if not target.any():
         return np.zeros(len(raw), np.float32)
     often = np.argsort(raw)[-5000:]
@@ -67,7 +70,8 @@ def log_ratios(target: np.ndarray, raw: np.ndarray) -> np.ndarray:
     usual = max(target[often[middle]] / raw[often[middle]], 1e-9)
     expected = raw * usual
     ratio = np.log((target + 0.5) / (expected + 0.5))
-    ratio[np.abs(target - expected) < SIGNIFICANT * np.sqrt(np.maximum(expected, 1e-9))] = 0
+    deviance = 2 * (target * np.log(np.maximum(target, 1e-9) / np.maximum(expected, 1e-9)) - (target - expected))
+    ratio[(raw == 0) | (deviance < 1.5 * math.log(max(2, int((raw > 0).sum())))) | (np.abs(ratio) < math.log(2))] = 0
     return ratio.astype(np.float32)
 
 
@@ -81,7 +85,7 @@ def best_cut(weights: np.ndarray, usable: np.ndarray) -> float:
     lost_bad = np.concatenate([[0], np.cumsum(~u)]) / (~u).sum()
     edges = np.concatenate([[True], w[1:] > w[:-1], [True]])
     gain = np.where(edges, lost_bad - lost_good, -1)
-    best = int(np.argmax(gain))
+    best = int(np.flatnonzero(gain >= gain.max() - NEARLY_BEST)[0])
     if best == 0:
         return -math.inf
     return float((w[best - 1] + w[best]) / 2) if best < len(w) else float(w[-1]) + 1
@@ -110,15 +114,13 @@ def sample_usable_notes(
     marked = rows.join(F.broadcast(fitted), "id", "left")
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known, grams = WordHashes(), WordGrams()
+        known = WordHashes()
         raw, target = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
         for frame, words in text_batches(batches, "text", False):
-            flags = (frame["usable"] == 1).tolist()
-            for own, flag in zip(words, flags, strict=True):
-                f = features(own, known, grams)
-                raw[f] += 1
-                if flag:
-                    target[f] += 1
+            flags = (frame["usable"] == 1).to_numpy()
+            row, bucket = features(words, known)
+            raw += np.bincount(bucket, minlength=BUCKETS)
+            target += np.bincount(bucket[flags[row]], minlength=BUCKETS)
         slices = range(0, BUCKETS, SLICE)
         yield pd.DataFrame({"slice": [i // SLICE for i in slices], "raw": [raw[i : i + SLICE] for i in slices], "target": [target[i : i + SLICE] for i in slices]})
 
@@ -139,12 +141,13 @@ def sample_usable_notes(
     model = spark.sparkContext.broadcast(log_ratios(target, raw))
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known, grams = WordHashes(), WordGrams()
+        known = WordHashes()
         for frame, words in text_batches(batches, "text", False):
-            weight = [float(model.value[features(own, known, grams)].sum(dtype=np.float64)) for own in words]
+            row, bucket = features(words, known)
+            weight = np.bincount(row, weights=model.value[bucket], minlength=len(words))
             noise = frame["noise"].to_numpy()
             uniform = ((noise.view(np.uint64) >> np.uint64(11)).astype(np.float64) + 0.5) / (1 << 53)
-            yield pd.DataFrame({"id": frame["id"], "usable": frame["usable"], "log_weight": weight, "sample_key": np.array(weight) - np.log(-np.log(uniform))})
+            yield pd.DataFrame({"id": frame["id"], "usable": frame["usable"], "log_weight": weight, "sample_key": weight - np.log(-np.log(uniform))})
 
     scored = cut(marked.withColumn("noise", F.xxhash64(row_key("id", "text"), F.lit(seed))).mapInPandas(score, "id string, usable int, log_weight double, sample_key double"))
     if keep is None:

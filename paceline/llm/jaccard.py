@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paceline.llm.common import WordHashes, components, cut, mixed, partitions, row_key, text_batches, whole_groups
+from paceline.llm.common import WordHashes, components, cut, expand, mixed, partitions, row_key, text_batches, whole_groups
 from paceline.llm.shingles import fingerprints, shingle_sets
 
 #: Sizes of a band differ by this factor at most.
@@ -39,19 +39,34 @@ def sketch(values: np.ndarray) -> bytes:
     return np.minimum(np.bincount((mixed(values) >> np.uint64(57)).astype(np.int64), minlength=CELLS), 255).astype(np.uint8).tobytes()
 
 
-def may_link(group: pd.DataFrame, percent: int) -> np.ndarray:
-    """Rows of two blocks (or of one) that may link with a row of another label, going by sizes and sketches."""
-    cells = np.frombuffer(b"".join(group["sketch"]), np.uint8).reshape(len(group), CELLS).astype(np.int16)
-    sizes, labels, block = group["n"].to_numpy(), group["label"].to_numpy(), group["block"].to_numpy()
-    left, right = np.flatnonzero(block == group["lo"].iloc[0]), np.flatnonzero(block == group["hi"].iloc[0])
-    keep = np.zeros(len(group), bool)
-    for at in range(0, len(left), 32):
-        some = left[at : at + 32]
-        total = sizes[some][:, None] + sizes[right][None, :]
-        low = np.abs(cells[some][:, None, :] - cells[right][None, :, :]).sum(2)
-        good = (low * (100 + percent) <= total * (100 - percent)) & (labels[some][:, None] != labels[right][None, :])
-        keep[some] |= good.any(1)
-        keep[right] |= good.any(0)
+def may_link(frame: pd.DataFrame, percent: int) -> np.ndarray:
+    """Rows of whole groups, sorted by pair, that may link with a row of another label and of the other block (or of
+    the same where there is one only), going by sizes and sketches."""
+    cells = np.frombuffer(b"".join(frame["sketch"]), np.uint8).reshape(len(frame), CELLS).astype(np.int16)
+    sizes, labels, block = frame["n"].to_numpy(), frame["label"].to_numpy(), frame["block"].to_numpy()
+    pair, lo, hi = frame["pair"].to_numpy(), frame["lo"].to_numpy(), frame["hi"].to_numpy()
+    order = np.lexsort((block != lo, pair))
+    first = np.flatnonzero(np.concatenate([[True], pair[order][1:] != pair[order][:-1]]))
+    total = np.diff(np.append(first, len(frame)))
+    lefts = np.add.reduceat((block == lo)[order].astype(np.int64), first)
+    alone = (lo == hi)[order][first]
+    right_first = np.where(alone, first, first + lefts)
+    rights = np.where(alone, total, total - lefts)
+    keep = np.zeros(len(frame), bool)
+    left_rows = expand(first, lefts)
+    partners = np.repeat(rights, lefts)
+    partner_first = np.repeat(right_first, lefts)
+    at = 0
+    done = np.cumsum(partners)
+    while at < len(left_rows):
+        to = max(at + 1, int(np.searchsorted(done, (done[at - 1] if at else 0) + 100_000)))
+        x = order[np.repeat(left_rows[at:to], partners[at:to])]
+        y = order[expand(partner_first[at:to], partners[at:to])]
+        low = np.abs(cells[x] - cells[y]).sum(1)
+        good = (low * (100 + percent) <= (sizes[x] + sizes[y]) * (100 - percent)) & (labels[x] != labels[y])
+        keep[x[good]] = True
+        keep[y[good]] = True
+        at = to
     return keep
 
 
@@ -336,11 +351,7 @@ def near_duplicate_notes(attempts: DataFrame, attempt_id: str = "attempt_id", no
 
     def sieve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in whole_groups(batches, "pair", 4096):
-            order = np.argsort(frame["pair"].to_numpy(), kind="stable")
-            pair = frame["pair"].to_numpy()[order]
-            keep = np.zeros(len(frame), bool)
-            for rows_of in np.split(order, np.flatnonzero(pair[1:] != pair[:-1]) + 1):
-                keep[rows_of] = may_link(frame.iloc[rows_of], percent)
+            keep = may_link(frame, percent)
             if keep.any():
                 yield frame.loc[keep, ["pair", "lo", "hi", "block", "label", "node"]]
 
