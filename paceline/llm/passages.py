@@ -21,7 +21,7 @@ from paceline.llm.common import WordHashes, expand, grams, hash_words, mixed, ro
 #: Words of a minimiser.
 GRAM = 10
 #: Super-k-mers of one minimiser that may meet in one bucket; beyond, its windows are counted by their 128-bit digests.
-HOT = 4096
+HOT = 32_768
 #: Super-k-mers sorted together.
 ROWS_AT_ONCE = 8_000
 #: Positions handled together; the low 24 bits of a sort key hold a position.
@@ -67,12 +67,13 @@ def paired(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.unique(a * (int(b.max(initial=0)) + 1) + b, return_inverse=True)[1].astype(np.int64)
 
 
-def remove_repeated_passages(attempts: DataFrame, attempt_id: str = "attempt_id", notes: str = "notes", window_words: int = 35, carry: tuple[str, ...] = ()) -> DataFrame:
+def remove_repeated_passages(attempts: DataFrame, attempt_id: str = "attempt_id", notes: str = "notes", window_words: int = 35, carry: tuple[str, ...] = (), keep_untouched: bool = False) -> DataFrame:
     """Notes without passages that stand elsewhere too: (attempt_id, n_words, n_removed, notes, spans).
 
     Words lie between ASCII white space and are compared unchanged. Each word covered by a window of window_words words
     whose sequence also starts at another place, in the same notes or in any others, is removed; windows are judged on
-    the input. notes holds the kept words joined by one space; spans the removed stretches as (first, last) word numbers.
+    the input. notes holds the kept words joined by one space
+    (with keep_untouched, notes that lose nothing are returned as they are); spans the removed stretches as (first, last) word numbers.
     Null notes have no words and give an empty text. Every row counts and is returned: a repeated row makes all its
     windows repeat. Notes shorter than a window lose nothing. Columns named in carry are returned as they are, behind the
     others; further columns are ignored.
@@ -96,7 +97,7 @@ def remove_repeated_passages(attempts: DataFrame, attempt_id: str = "attempt_id"
         .agg(F.collect_list(F.when(F.col("c") <= HOT, F.col("start"))).alias("cold"), F.collect_list(F.when(F.col("c") > HOT, F.col("start"))).alias("hot"))
     )
     texts = docs.select("rk", "id", "text", *carried).repartition("rk")
-    marked = texts.select("rk", "text").join(suspects, "rk")
+    marked = texts.join(suspects, "rk")  # all columns, so that the texts are shuffled once for all their uses
 
     def chosen(frame: pd.DataFrame, words: list[list[bytes]], column: str, known: WordHashes) -> tuple[np.ndarray, ...]:
         lengths = np.fromiter(map(len, words), np.int64, len(words))
@@ -144,9 +145,9 @@ def remove_repeated_passages(attempts: DataFrame, attempt_id: str = "attempt_id"
                 j = slice(i, i + 200_000)
                 yield pd.DataFrame({"d1": one[at[j]].view(np.int64), "d2": two[at[j]].view(np.int64), "rk": rk[j], "start": place[j]})
 
-    strings = marked.where("size(cold) > 0").select("rk", "text", "cold").mapInPandas(pack, "mini long, packed string, rk long, start int")
+    strings = marked.where("size(cold) > 0").drop("hot").mapInPandas(pack, "mini long, packed string, rk long, start int")
     cold = strings.repartition("mini").sortWithinPartitions("mini").mapInPandas(sort_and_count, "rk long, start int, n int")
-    windows = marked.where("size(hot) > 0").select("rk", "text", "hot").mapInPandas(digest, "d1 long, d2 long, rk long, start int")
+    windows = marked.where("size(hot) > 0").drop("cold").mapInPandas(digest, "d1 long, d2 long, rk long, start int")
     repeated = windows.groupBy("d1", "d2").agg(F.count("*").alias("c")).where("c > 1").select("d1", "d2")
     hot = windows.join(repeated, ["d1", "d2"], "left_semi").select("rk", "start", F.lit(1).alias("n"))
     spans = cold.union(hot).groupBy("rk").agg(F.collect_list(F.struct("start", "n")).alias("runs"))
@@ -154,9 +155,9 @@ def remove_repeated_passages(attempts: DataFrame, attempt_id: str = "attempt_id"
     def remove(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame, words in text_batches(batches, "text", False):
             lost, kept, spans = [], [], []
-            for row, found in zip(words, frame["runs"], strict=True):
+            for row, found, text in zip(words, frame["runs"], frame["text"], strict=True):
                 if found is None or not len(found):
-                    kept.append(b" ".join(row).decode("utf-8", "surrogatepass"))
+                    kept.append(text or "" if keep_untouched else b" ".join(row).decode("utf-8", "surrogatepass"))
                     lost.append(0)
                     spans.append([])
                     continue
@@ -173,7 +174,7 @@ def remove_repeated_passages(attempts: DataFrame, attempt_id: str = "attempt_id"
 
     kind = attempts.schema[attempt_id].dataType.simpleString()
     types = "".join(f", {c} {docs.schema[c].dataType.simpleString()}" for c in carried)
-    out = texts.join(spans, "rk", "left").select("id", "text", "runs", *carried).mapInPandas(remove, "id string, n_words long, n_removed long, kept string, spans array<struct<first:int,last:int>>" + types)
+    out = texts.join(spans, "rk", "left").mapInPandas(remove, "id string, n_words long, n_removed long, kept string, spans array<struct<first:int,last:int>>" + types)
     return out.select(F.col("id").cast(kind).alias(attempt_id), "n_words", "n_removed", F.col("kept").alias(notes), "spans", *[F.col(f"carried_{i}").alias(c) for i, c in enumerate(carry)])
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paceline.llm.archives import new_archive_folder, read_archives, write_archives
+from paceline.llm.lattice import near_duplicate_frames
 from paceline.llm.registry import query
 from paceline.llm.reputation import judge_pages
 
@@ -77,3 +78,19 @@ def op9(spark: SparkSession, sf: str) -> DataFrame:
     folder = new_archive_folder(spark)
     manifest = write_archives(spark.read.parquet(f"{sf}/pages.parquet"), folder, least_bytes=0)
     return read_archives(manifest, folder).select(F.col("page_id").cast("long"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("long"))
+
+
+VECTOR_SQL = r"""
+WITH RECURSIVE v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings),
+sound AS (SELECT vec_id, e FROM v WHERE e IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+links AS (SELECT a.vec_id AS x, b.vec_id AS y FROM sound a JOIN sound b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.95),
+reach AS (SELECT x, y FROM links UNION SELECT r.x, l.y FROM reach r JOIN links l ON r.y = l.x),
+roots AS (SELECT vec_id, least(vec_id, coalesce((SELECT min(y) FROM reach WHERE x = vec_id), vec_id)) AS component_id FROM v)
+SELECT vec_id, (SELECT count(*) FROM links WHERE x = vec_id)::BIGINT AS n_links, component_id, vec_id = component_id AS kept FROM roots
+"""
+
+
+@query("op7_embedding_near_dedup", VECTOR_SQL)
+def op7(spark: SparkSession, sf: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf}/embeddings.parquet").select(F.col("vec_id").alias("frame_id"), F.col("embedding").alias("landmarks"))
+    return near_duplicate_frames(vectors, least_cosine=0.95).withColumnRenamed("frame_id", "vec_id")

@@ -17,8 +17,8 @@ def attempts(spark: SparkSession, sf: str) -> DataFrame:
     return as_attempts(spark.read.parquet(f"{sf}/documents.parquet"))
 
 
-def as_attempts(documents: DataFrame) -> DataFrame:
-    return documents.select(F.col("doc_id").alias("attempt_id"), F.col("text").alias("notes"), F.col("lang").alias("location"), F.col("source").alias("attempt_type"))
+def as_attempts(documents: DataFrame, *more: str) -> DataFrame:
+    return documents.select(F.col("doc_id").alias("attempt_id"), F.col("text").alias("notes"), F.col("lang").alias("location"), F.col("source").alias("attempt_type"), *more)
 
 
 JACCARD_SQL = r"""
