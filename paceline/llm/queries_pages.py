@@ -9,6 +9,7 @@ from paceline.llm.archives import new_archive_folder, read_archives, write_archi
 from paceline.llm.lattice import near_duplicate_frames
 from paceline.llm.registry import query
 from paceline.llm.reputation import judge_pages
+from paceline.llm.transcripts import fit_roles, format_transcripts
 
 #: The rules of the filter.
 RULES = [("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block")]
@@ -94,3 +95,11 @@ SELECT vec_id, (SELECT count(*) FROM links WHERE x = vec_id)::BIGINT AS n_links,
 def op7(spark: SparkSession, sf: str) -> DataFrame:
     vectors = spark.read.parquet(f"{sf}/embeddings.parquet").select(F.col("vec_id").alias("frame_id"), F.col("embedding").alias("landmarks"))
     return near_duplicate_frames(vectors, least_cosine=0.95).withColumnRenamed("frame_id", "vec_id")
+
+
+@query("op1_chat_formatting")
+def op1(spark: SparkSession, sf: str) -> DataFrame:
+    """Roles are recovered from the texts alone; the given ones only train the model."""
+    talks = spark.read.parquet(f"{sf}/conversations.parquet").withColumnRenamed("conv_id", "request_id")
+    model = fit_roles(talks)
+    return format_transcripts(talks.select("request_id", "turn", "text"), model).withColumnRenamed("request_id", "conv_id")
