@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paceline.llm.archives import new_archive_folder, read_archives, write_archives
+from paceline.llm.content import extract_content, fit_content, labelled_pages
 from paceline.llm.lattice import near_duplicate_frames
 from paceline.llm.registry import query
 from paceline.llm.reputation import judge_pages
@@ -103,3 +104,8 @@ def op1(spark: SparkSession, sf: str) -> DataFrame:
     talks = spark.read.parquet(f"{sf}/conversations.parquet").withColumnRenamed("conv_id", "request_id")
     model = fit_roles(talks)
     return format_transcripts(talks.select("request_id", "turn", "text"), model).withColumnRenamed("request_id", "conv_id")
+
+
+@query("op6_html_extraction")
+def op6(spark: SparkSession, sf: str) -> DataFrame:
+    return extract_content(spark.read.parquet(f"{sf}/pages.parquet"), fit_content(labelled_pages(spark)))
