@@ -1,6 +1,6 @@
 """Main text of web pages: a tree-structured graphical model over the DOM.
 
-Method. Every element and every block of text is a node that is content or not. A node's potential comes from its tag,
+Method. Every element and every block of text is a node: content, not content, or (elements) a frame that holds either. A node's potential comes from its tag,
 the words of its class, id and role, and features of its text; an edge's potential says how a child follows its parent.
 Sum-product messages are passed upward and then downward, which gives each block its marginal. All potentials are counted
 on labelled pages.
@@ -135,56 +135,43 @@ def evidence(dom: Dom, i: int) -> list[str]:
 
 
 def node_labels(dom: Dom) -> list[int]:
-    """Labels of all nodes: texts as marked (0 without a mark), elements by the larger part of their text."""
-    weight = [[0, 0] for _ in dom.parent]
-    out = [0] * len(dom.parent)
-    for i in range(len(dom.parent) - 1, -1, -1):
-        if dom.text[i] is not None:
-            weight[i][dom.label[i] or 0] += len(dom.text[i])
-        out[i] = int(weight[i][1] > weight[i][0]) if weight[i] != [0, 0] else dom.label[i] or 0
-        if dom.parent[i] >= 0:
-            up = weight[dom.parent[i]]
-            up[0] += weight[i][0]
-            up[1] += weight[i][1]
-    return out
+    """States of all nodes as marked: 0 for the rest, 1 for content; elements without a mark are 2 (they hold either)."""
+    return [(0 if dom.text[i] is not None else 2) if x is None else x for i, x in enumerate(dom.label)]
 
 
 class ContentModel:
-    """Log potentials of features and of parent-child pairs, from counts of labelled pages."""
-
-    def __init__(self, counts: dict[str, tuple[float, float]]) -> None:
-        totals = {kind: np.array([sum(v[y] for k, v in counts.items() if k.split(" ")[0] == kind) for y in (0, 1)], float) for kind in ("tag", "name", "links")}
-        self.feature = {}
-        for key, v in counts.items():
-            kind = key.split(" ")[0]
-            if kind in totals:
-                share = (np.array(v, float) + 0.5) / (totals[kind] + 1)
-                self.feature[key] = np.log(share)
-        edge = np.array([[counts.get(f"edge {p} {kind}", (0, 0)) for p in (0, 1)] for kind in ("element", "text")], float) + 0.5
+    """Log potentials of features and of parent-child pairs for the three states, from counts of labelled pages."""
+
+    def __init__(self, counts: dict[str, tuple[float, ...]]) -> None:
+        kinds = ("tag", "name", "links")
+        totals = {kind: np.array([sum(v[y] for k, v in counts.items() if k.split(" ")[0] == kind) for y in range(3)], float) for kind in kinds}
+        self.feature = {k: np.log((np.array(v, float) + 0.5) / (totals[k.split(" ")[0]] + 1)) for k, v in counts.items() if k.split(" ")[0] in kinds}
+        edge = np.array([[counts.get(f"edge {p} {kind}", (0, 0, 0)) for p in range(3)] for kind in ("element", "text")], float) + 0.5
         self.edge = np.log(edge / edge.sum(2, keepdims=True))
-        self.nothing = np.zeros(2)
+        self.nothing = np.zeros(3)
 
     def marginals(self, dom: Dom) -> np.ndarray:
         """P(content) of each node by messages up the tree and down again."""
         n = len(dom.parent)
-        own = np.zeros((n, 2))
+        own = np.zeros((n, 3))
         for i in range(1, n):
             for key in evidence(dom, i):
                 own[i] += self.feature.get(key, self.nothing)
-        below, up = own.copy(), np.zeros((n, 2))
+        below, up = own.copy(), np.zeros((n, 3))
+        below[0] = (-50.0, -50.0, 0.0)  # the page itself holds either
         for i in range(n - 1, 0, -1):  # children come after their parents
-            joint = self.edge[int(dom.text[i] is not None)] + below[i]
-            up[i] = np.logaddexp(joint[:, 0], joint[:, 1])
+            up[i] = np.logaddexp.reduce(self.edge[int(dom.text[i] is not None)] + below[i], 1)
             below[dom.parent[i]] += up[i]
-        down = np.zeros((n, 2))
+        down = np.zeros((n, 3))
         for i in range(1, n):
             p = dom.parent[i]
             rest = down[p] + below[p] - up[i]
-            joint = self.edge[int(dom.text[i] is not None)] + rest[:, None]
-            down[i] = np.logaddexp(joint[0], joint[1])
+            down[i] = np.logaddexp.reduce(self.edge[int(dom.text[i] is not None)] + rest[:, None], 0)
             down[i] -= down[i].max()
         belief = below + down
-        return 1 / (1 + np.exp(np.clip(belief[:, 0] - belief[:, 1], -500, 500)))
+        belief -= belief.max(1, keepdims=True)
+        chance = np.exp(belief)
+        return chance[:, 1] / chance.sum(1)
 
     def extract(self, html: str | None) -> str:
         dom = parse(html)
@@ -246,18 +233,22 @@ def example_page(r: random.Random) -> str:
         text = words(1, r.choice((3, 20, 120)))
         if r.random() < 0.25:
             text += f" <b>{words(1, 3)}</b> {link()} {words(1, 9)}"
-        return r.choice((f"<p>{text}</p>",) * 6 + (f"<p>{text}", f"<p><b>{text}<br>", f"<div>{text}</div>", f"<blockquote>{text}</blockquote>", f"<pre>{text}</pre>", f"<h2>{words(1, 6)}</h2>", f"<h3>{words(1, 6)}</h3>", "<ul>" + "".join(f"<li>{words(1, 12)}</li>" for _ in range(r.randint(1, 6))) + "</ul>", f"<table><tr><td>{words(1, 3)}</td><td>{words(1, 3)}</td></tr></table>", f"<figure><figcaption>{words(2, 9)}</figcaption></figure>", f"<section><h2>{words(1, 4)}</h2><p>{text}</p></section>"))
+        return r.choice((f"<p>{text}</p>",) * 6 + (f"<p>{text}", f"<p><b>{text}<br>", f"<div>{text}</div>", f"<blockquote>{text}</blockquote>", f"<pre>{text}</pre>", f"<h2>{words(1, 6)}</h2>", f"<h3>{words(1, 6)}</h3>", *("<ul>" + "".join(f"<li>{r.choice((words(1, 12), link(), words(1, 9) + ' ' + link()))}</li>" for _ in range(r.randint(1, 6))) + "</ul>" for _ in range(5)), f"<ol><li>{words(1, 12)}</li></ol>", f"<dl><dt>{word()}</dt><dd>{words(1, 9)}</dd></dl>", f"<table><tr><td>{words(1, 3)}</td><td>{words(1, 3)}</td></tr></table>", f"<figure><figcaption>{words(2, 9)}</figcaption></figure>", f"<section><h2>{words(1, 4)}</h2><p>{text}</p></section>"))
 
     title = f"<h1>{words(2, 10)}</h1>"
     title = f"<header>{title}</header>" if r.random() < 0.15 else title
-    inside = title + "".join(paragraph() for _ in range(r.randint(0, 12)))
-    if r.random() < 0.3:
-        inside += boiler(r.choice(("share", "ad", "aside", "comments", "notice", "form")))
+    pieces = [paragraph() for _ in range(r.randint(0, 12))]
+    for kind in ("share", "ad", "aside", "notice", "form", "comments"):
+        if r.random() < 0.3:
+            pieces.insert(r.randint(0, len(pieces)) if kind != "comments" else len(pieces), boiler(kind))
+    inside = title + "".join(pieces)
     tag = r.choice(("article", "article", "main", "div", "div", "section"))
     name = named(CONTENT_NAMES) if tag in ("div", "section") or r.random() < 0.3 else ""
     body = f'<{tag}{name} {LABEL}="1">{inside}</{tag}>'
     if r.random() < 0.3:
         body = f"<{r.choice(('main', 'div'))}{named(CONTENT_NAMES + ['wrapper', 'container', 'row', 'layout'])}>{body}</div>"
+    if r.random() < 0.15:  # a page without a frame for its content
+        body = "".join(f'<div {LABEL}="1">{x}</div>' if not x.startswith("<p>") else x.replace("<p>", f'<p {LABEL}="1">', 1) for x in pieces if LABEL not in x)
     kinds = list(PARTS)
     before = [boiler(k) for k in kinds if r.random() < (0.7 if k in ("nav", "header") else 0.25)]
     after = [boiler(k) for k in kinds if r.random() < (0.8 if k == "footer" else 0.25)]
@@ -283,8 +274,8 @@ def fit_content(labelled: DataFrame, html: str = "html", most_features: int = 20
         yield pd.DataFrame([(k, y, c) for (k, y), c in held.items()], columns=["feature", "label", "c"])
 
     counted = labelled.select(F.col(html).cast("string").alias("html")).mapInPandas(count, "feature string, label int, c long")
-    top = counted.groupBy("feature").agg(F.sum(F.when(F.col("label") == 0, F.col("c")).otherwise(0)).alias("c0"), F.sum(F.when(F.col("label") == 1, F.col("c")).otherwise(0)).alias("c1")).orderBy(F.desc(F.col("c0") + F.col("c1")), "feature").limit(most_features).collect()
-    return ContentModel({x["feature"]: (x["c0"], x["c1"]) for x in top})
+    top = counted.groupBy("feature").agg(F.sum(F.when(F.col("label") == 0, F.col("c")).otherwise(0)).alias("c0"), F.sum(F.when(F.col("label") == 1, F.col("c")).otherwise(0)).alias("c1"), F.sum(F.when(F.col("label") == 2, F.col("c")).otherwise(0)).alias("c2")).orderBy(F.desc(F.col("c0") + F.col("c1") + F.col("c2")), "feature").limit(most_features).collect()
+    return ContentModel({x["feature"]: (x["c0"], x["c1"], x["c2"]) for x in top})
 
 
 def extract_content(pages: DataFrame, model: ContentModel, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
