@@ -26,30 +26,31 @@ BAND_RATIO = 1.5
 #: signatures (most fall to the bound of their sketches).
 SHARED_BY_CHANCE, PAIR_COST = 0.01, 1.0
 #: A sketch counts a set's shingles in this many cells; the counts' differences bound the sets' difference from below.
-CELLS = 128
+CELLS = 64
 #: Signatures of a bucket, about, and signatures gathered in a task before they are dealt out.
 BUCKET_SIGNATURES, FLUSH_SIGNATURES = 100_000, 1_000_000
 #: Keys that a node shares with the smallest node of their buckets to be in its block; nodes and shingles of a block, about.
 STRONG_VOTES, BLOCK_NODES, BLOCK_SHINGLES = 3, 1024, 500_000
+#: Whether a row is of the first block of a pair, of the second, or of the only one.
+LEFT, RIGHT, BOTH = 0, 1, 2
 #: Columns of the dense matrices that blocks are compared by.
 MATRIX_COLUMNS = 4096
 
 
 def sketch(values: np.ndarray) -> bytes:
-    return np.minimum(np.bincount((mixed(values) >> np.uint64(57)).astype(np.int64), minlength=CELLS), 255).astype(np.uint8).tobytes()
+    return np.minimum(np.bincount((mixed(values) >> np.uint64(58)).astype(np.int64), minlength=CELLS), 255).astype(np.uint8).tobytes()
 
 
 def may_link(frame: pd.DataFrame, percent: int) -> np.ndarray:
     """Rows of whole groups, sorted by pair, that may link with a row of another label and of the other block (or of
     the same where there is one only), going by sizes and sketches."""
     cells = np.frombuffer(b"".join(frame["sketch"]), np.uint8).reshape(len(frame), CELLS).astype(np.int16)
-    sizes, labels, block = frame["n"].to_numpy(), frame["label"].to_numpy(), frame["block"].to_numpy()
-    pair, lo, hi = frame["pair"].to_numpy(), frame["lo"].to_numpy(), frame["hi"].to_numpy()
-    order = np.lexsort((block != lo, pair))
+    sizes, labels, pair, side = frame["n"].to_numpy(), frame["label"].to_numpy(), frame["pair"].to_numpy(), frame["side"].to_numpy()
+    order = np.lexsort((side, pair))
     first = np.flatnonzero(np.concatenate([[True], pair[order][1:] != pair[order][:-1]]))
     total = np.diff(np.append(first, len(frame)))
-    lefts = np.add.reduceat((block == lo)[order].astype(np.int64), first)
-    alone = (lo == hi)[order][first]
+    lefts = np.add.reduceat((side[order] != RIGHT).astype(np.int64), first)
+    alone = side[order][first] == BOTH
     right_first = np.where(alone, first, first + lefts)
     rights = np.where(alone, total, total - lefts)
     keep = np.zeros(len(frame), bool)
@@ -81,9 +82,8 @@ def bridges_between(group: pd.DataFrame, percent: int) -> tuple[list[int], list[
     row, column = row[kept], column[kept]
     order = np.argsort(column, kind="stable")
     row, column = row[order], column[order]
-    labels, block = group["label"].to_numpy(), group["block"].to_numpy()
-    lo, hi = group["lo"].iloc[0], group["hi"].iloc[0]
-    left, right = np.flatnonzero(block == lo), np.flatnonzero(block == hi)
+    labels, side = group["label"].to_numpy(), group["side"].to_numpy()
+    left, right = np.flatnonzero(side != RIGHT), np.flatnonzero(side != LEFT)
     common = np.zeros((len(left), len(right)), np.float64)
     width = int(column[-1]) + 1 if len(column) else 0
     for at in range(0, width, MATRIX_COLUMNS):
@@ -340,22 +340,23 @@ def near_duplicate_notes(attempts: DataFrame, attempt_id: str = "attempt_id", no
     # smallest node form a block; two blocks that meet under a key are compared as matrices, and only links that
     # connect something are returned.
     several = components(votes.where(f"c >= {STRONG_VOTES}").select(F.col("leader").alias("a"), F.col("node").alias("b")))
-    rooted = label.join(several.withColumnRenamed("component", "root"), "node", "left").withColumn("root", F.coalesce("root", "node")).join(sizes, "node")
+    rooted = label.join(several.withColumnRenamed("component", "root"), "node", "left").withColumn("root", F.coalesce("root", "node")).join(loaded.select("node", "n", "sketch"), "node")
     parts = rooted.groupBy("root").agg(F.greatest(F.ceil(F.count("*") / BLOCK_NODES), F.ceil(F.sum("n") / BLOCK_SHINGLES)).alias("parts"))
-    blocks = cut(rooted.join(parts, "root").select("node", "label", "n", F.xxhash64("root", F.pmod(F.xxhash64("node"), "parts")).alias("block")))
+    blocks = cut(rooted.join(parts, "root").select("node", "label", "n", "sketch", F.xxhash64("root", F.pmod(F.xxhash64("node"), "parts")).alias("block")))
     marked = shared.join(blocks.select("node", "label", "block"), "node")
     unsettled = marked.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.collect_set("block").alias("others")).where("lo < hi").select("key", "others")
     met = marked.join(unsettled, "key").select("node", "block", F.explode("others").alias("other"))
-    sides = met.select(F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "node", "block").distinct()
-    sketched = sides.withColumn("pair", F.xxhash64("lo", "hi")).join(blocks.select("node", "label", "n"), "node").join(loaded.select("node", "sketch"), "node")
+    side = F.when(F.col("block") == F.col("other"), BOTH).when(F.col("block") < F.col("other"), LEFT).otherwise(RIGHT)
+    sides = met.select(F.xxhash64(F.least("block", "other"), F.greatest("block", "other")).alias("pair"), side.alias("side"), "node").distinct()
+    sketched = sides.join(blocks.select("node", "label", "n", "sketch"), "node")
 
     def sieve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in whole_groups(batches, "pair", 4096):
             keep = may_link(frame, percent)
             if keep.any():
-                yield frame.loc[keep, ["pair", "lo", "hi", "block", "label", "node"]]
+                yield frame.loc[keep, ["pair", "side", "label", "node"]]
 
-    sieved = sketched.repartition("pair").sortWithinPartitions("pair").mapInPandas(sieve, "pair long, lo long, hi long, block long, label long, node long")
+    sieved = sketched.repartition("pair").sortWithinPartitions("pair").mapInPandas(sieve, "pair long, side int, label long, node long")
     work = sieved.join(loaded.select("node", "shingles"), "node")
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -365,7 +366,7 @@ def near_duplicate_notes(attempts: DataFrame, attempt_id: str = "attempt_id", no
                 if len(a):
                     yield pd.DataFrame({"a": a, "b": b})
 
-    bridges = work.select("pair", "lo", "hi", "block", "label", "shingles").repartition("pair").sortWithinPartitions("pair").mapInPandas(compare, "a long, b long")
+    bridges = work.select("pair", "side", "label", "shingles").repartition("pair").sortWithinPartitions("pair").mapInPandas(compare, "a long, b long")
     joined = components(bridges)
     final = label.join(joined.select(F.col("node").alias("label"), "component"), "label", "left").select("node", F.coalesce("component", "label").alias("group"))
 
