@@ -131,7 +131,8 @@ def sample_usable_notes(
                 own = slices.setdefault(s, [np.zeros(SLICE, np.int64), np.zeros(SLICE, np.int64)])
                 own[0] += r
                 own[1] += t
-        yield pd.DataFrame({"slice": list(slices), "raw": [x[0] for x in slices.values()], "target": [x[1] for x in slices.values()]})
+        if slices:
+            yield pd.DataFrame({"slice": list(slices), "raw": [x[0] for x in slices.values()], "target": [x[1] for x in slices.values()]})
 
     counted = marked.mapInPandas(count, "slice int, raw array<long>, target array<long>").repartition("slice").mapInPandas(add, "slice int, raw array<long>, target array<long>")
     raw, target = np.zeros(BUCKETS), np.zeros(BUCKETS)
