@@ -24,7 +24,7 @@ NAMES = {"system": "system|sys|instructions?|context", "user": "user|human|quest
 #: Turns of a block, about.
 BLOCK_TURNS = 64
 #: Chance of a marker in a line that begins a turn: its own role's, another role's, another name's; and of any in a later line.
-OWN_MARKER, WRONG_MARKER, OTHER_MARKER, LATE_MARKER = 0.45, 0.01, 0.03, 0.01
+OWN_MARKER, WRONG_MARKER, OTHER_MARKER, LATE_MARKER = 0.45, 0.01, 0.03, 0.002
 MARKS = ("none", *ROLES, "other")
 #: Number of values of the trained features: place (first of the message, after a blank line, else), length, ending, opening.
 FEATURES = {"place": 3, "length": 6, "ending": 3, "opening": 4}
@@ -64,6 +64,8 @@ class RoleModel:
         self.move = np.log((moves + 0.5) / (moves + 0.5).sum(1, keepdims=True))
         for r in range(len(ROLES)):  # a turn is only continued by its own speaker
             self.move[:, BEGIN + r] = np.where(np.isin(np.arange(6), (r, BEGIN + r)), self.move[:, BEGIN + r], -30.0)
+        # Labelled messages begin a turn each, in a transcript a turn may begin at any line; and its turns may be shorter.
+        features = {k: v + (0.1 if k == "place" else 0.03) * v.sum(1, keepdims=True) for k, v in features.items()}
         self.feature = {k: np.log((v + 1) / (v + 1).sum(1, keepdims=True)) for k, v in features.items()}
         mark = np.full((6, len(MARKS)), LATE_MARKER)
         mark[BEGIN:, 0] = 1 - 4 * LATE_MARKER
