@@ -339,8 +339,11 @@ def near_duplicate_notes(attempts: DataFrame, attempt_id: str = "attempt_id", no
     # What is left: pairs of a bucket that lie in different components. Nodes that share several keys with the same
     # smallest node form a block; two blocks that meet under a key are compared as matrices, and only links that
     # connect something are returned.
-    several = components(votes.where(f"c >= {STRONG_VOTES}").select(F.col("leader").alias("a"), F.col("node").alias("b")))
-    rooted = label.join(several.withColumnRenamed("component", "root"), "node", "left").withColumn("root", F.coalesce("root", "node")).join(loaded.select("node", "n", "sketch"), "node")
+    strong = votes.where(f"c >= {STRONG_VOTES}").groupBy("node").agg(F.max_by("leader", F.struct("c", "leader")).alias("over"))
+    above = strong.select(F.col("node").alias("over"), F.col("over").alias("top"))
+    tops = strong.join(above, "over", "left").select("node", F.coalesce("top", "over").alias("root"))
+    heads = label.join(tops, "node", "left")
+    rooted = heads.withColumn("root", F.coalesce("root", "node")).join(loaded.select("node", "n", "sketch"), "node")
     parts = rooted.groupBy("root").agg(F.greatest(F.ceil(F.count("*") / BLOCK_NODES), F.ceil(F.sum("n") / BLOCK_SHINGLES)).alias("parts"))
     blocks = cut(rooted.join(parts, "root").select("node", "label", "n", "sketch", F.xxhash64("root", F.pmod(F.xxhash64("node"), "parts")).alias("block")))
     marked = shared.join(blocks.select("node", "label", "block"), "node")
