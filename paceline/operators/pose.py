@@ -47,12 +47,12 @@ def repair_pose_frames(frames: DataFrame, min_mass: float = 0.75) -> DataFrame:
     return df.withColumns({"candidate_count": count, "pose_detected": det, "pose_selected": sel, **cut}).drop("_i", "_w")
 
 
-def first_frames(frames: DataFrame, limit: int = 450) -> DataFrame:
-    """PRJ15: a stored result keeps at most 450 frames of the accepted range."""
+def first_frames(frames: DataFrame, limit: int | None = None) -> DataFrame:
+    """PRJ15: the frames of the accepted range; a stored result keeps the first `limit` of them (450) where one is given."""
     from pyspark.sql import Window
     w = Window.partitionBy("attempt_id").orderBy("raw_time")
     inside = (F.col("raw_time") >= F.col("start_s") - 0.001) & (F.col("raw_time") <= F.col("end_s") + 0.001)
-    return (frames.where(inside).withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= limit).drop("_n")
+    return (frames.where(inside).withColumn("_n", F.row_number().over(w)).where(F.lit(True) if limit is None else F.col("_n") <= limit).drop("_n")
             .withColumn("climb_time", X.round_ms(F.col("raw_time") - F.col("start_s"))))
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import exprs as X
@@ -128,18 +129,19 @@ def prj25(spark, sf):
 # --- lanes ------------------------------------------------------------------------------------
 
 def lanes(spark, sf):
-    """Order lines as candidate patches, seven at most per order (one per line number)."""
-    li = table(spark, sf, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min(F.struct("l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_returnflag")).alias("m"))
+    """Every order line is a candidate patch; patches of an order are numbered by line, part and the rest."""
+    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_returnflag")
+    li = table(spark, sf, "lineitem").select("l_orderkey", F.row_number().over(w).alias("ord"), F.struct("l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_returnflag").alias("m"))
     x, y = (F.col("m.l_partkey") % 80) / 100.0, (F.col("m.l_suppkey") % 90) / 100.0
     zone = F.struct(x.alias("x1"), y.alias("y1"), (x + 0.05).alias("x2"), (y + 0.05).alias("y2"))
     k = F.col("l_orderkey")
-    return li.select(k.alias("attempt_id"), F.col("l_linenumber").cast("int").alias("ord"), zone.alias("zone"), F.col("m.l_extendedprice").alias("score"), (F.col("m.l_quantity") / 10).alias("start_s"),
+    return li.select(k.alias("attempt_id"), F.col("ord").cast("int").alias("ord"), zone.alias("zone"), F.col("m.l_extendedprice").alias("score"), (F.col("m.l_quantity") / 10).alias("start_s"),
                      F.when(k % 3 == 0, F.struct(F.lit(0.1).alias("x1"), F.lit(0.6).alias("x2"))).alias("body"), F.concat(F.lit("lane-"), (F.col("m.l_partkey") % 5).cast("string")).alias("label"),
                      F.when(F.col("m.l_returnflag") == "A", "High").when(F.col("m.l_returnflag") == "N", "Medium").otherwise("Low").alias("confidence"), (F.col("m.l_suppkey") % 9 != 0).alias("vote_allowed"))
 
 
-LANES = """ln AS (SELECT l_orderkey AS attempt_id, l_linenumber AS ord, (l_partkey%80)/100.0::DOUBLE AS x1, (l_suppkey%90)/100.0::DOUBLE AS y1, (l_partkey%80)/100.0::DOUBLE+0.05::DOUBLE AS x2, (l_suppkey%90)/100.0::DOUBLE+0.05::DOUBLE AS y2, l_extendedprice AS score, l_quantity/10 AS start_s, 'lane-'||(l_partkey%5) AS label,
- CASE l_returnflag WHEN 'A' THEN 'High' WHEN 'N' THEN 'Medium' ELSE 'Low' END AS confidence, l_suppkey%9<>0 AS vote FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey, l_quantity, l_extendedprice, l_returnflag) AS rn FROM lineitem) WHERE rn=1)"""
+LANES = """ln AS (SELECT l_orderkey AS attempt_id, rn AS ord, (l_partkey%80)/100.0::DOUBLE AS x1, (l_suppkey%90)/100.0::DOUBLE AS y1, (l_partkey%80)/100.0::DOUBLE+0.05::DOUBLE AS x2, (l_suppkey%90)/100.0::DOUBLE+0.05::DOUBLE AS y2, l_extendedprice AS score, l_quantity/10 AS start_s, 'lane-'||(l_partkey%5) AS label,
+ CASE l_returnflag WHEN 'A' THEN 'High' WHEN 'N' THEN 'Medium' ELSE 'Low' END AS confidence, l_suppkey%9<>0 AS vote FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_returnflag) AS rn FROM lineitem))"""
 
 
 @query("fn14", f"WITH {LANES} SELECT attempt_id, CAST(ord AS INTEGER) AS ord, printf('light:%.6f:%.6f:%.6f:%.6f', x1, y1, x2, y2) AS lane_id FROM ln")

@@ -60,12 +60,12 @@ def fleet(spark, sf):
     """Saved rows whose notes are whole documents, so search has real text to look through."""
     a = R.attempts(spark, sf).withColumn("day", F.col("date"))
     d = R.table(spark, sf, "documents").select(F.col("doc_id").alias("attempt_id"), "text")
-    return a.join(d, "attempt_id").select(*a.columns, F.col("text").alias("long_notes"))
+    return a.join(d, "attempt_id", "left").select(*a.columns, F.col("text").alias("long_notes"))
 
 
 SEARCH = f"""WITH {T.WIDE}, r AS (SELECT a.*, d.text, CASE WHEN w.t_f > w.t_s THEN w.t_f - w.t_s END AS total_s, least({T.rank('w.cf_s')}, {T.rank('w.cf_f')}) AS rk
- FROM attempts a JOIN documents d ON a.attempt_id = d.doc_id LEFT JOIN wide w ON a.attempt_id = w.attempt_id),
- rows_ AS (SELECT *, total_s IS NULL OR rk < 2 AS needs_review, trim(lower(strip_accents(name || ' ' || location || ' ' || text))) AS search_text FROM r)"""
+ FROM attempts a LEFT JOIN documents d ON a.attempt_id = d.doc_id LEFT JOIN wide w ON a.attempt_id = w.attempt_id),
+ rows_ AS (SELECT *, total_s IS NULL OR rk < 2 AS needs_review, trim(lower(strip_accents(name || ' ' || location || ' ' || coalesce(text, '')))) AS search_text FROM r)"""
 
 
 @query("top1", SEARCH + " SELECT attempt_id, name, total_s, needs_review, updated_at FROM rows_ WHERE contains(search_text, 'attempt') AND contains(search_text, 'elle') AND contains(search_text, 'ete')")

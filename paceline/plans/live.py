@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
@@ -21,12 +20,10 @@ from .study import r6
 
 
 def workdir(spark) -> str:
-    """A fresh folder under the cluster's shared checkpoint folder; a temporary one in local tests."""
+    """A fresh folder under the shared checkpoint folder."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("streaming queries need spark.checkpoint.dir")
-        base = tempfile.mkdtemp(prefix="run-")
+        raise RuntimeError("streaming queries need spark.checkpoint.dir")
     return f"{base}/live-{uuid.uuid4().hex}"
 
 

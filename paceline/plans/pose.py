@@ -70,7 +70,8 @@ def dim3(spark, sf):
     j = D.joints(spark)
     s = (D.segments(spark).join(F.broadcast(j.select(F.col("joint").alias("proximal"), F.col("landmark_idx").alias("proximal_idx"))), "proximal", "left")
          .join(F.broadcast(j.select(F.col("joint").alias("distal"), F.col("landmark_idx").alias("distal_idx"))), "distal", "left"))
-    return table(spark, sf, "embeddings").join(F.broadcast(s), F.col("mass") > 0).select("vec_id", "segment", "mass", "ratio", "required", "proximal_idx", "distal_idx")
+    names = F.array(*[F.lit(r["segment"]) for r in D.segments(spark).where("mass > 0").select("segment").collect()])  # the fixed segments of the body
+    return table(spark, sf, "embeddings").withColumn("segment", F.explode(names)).join(F.broadcast(s), "segment").select("vec_id", "segment", "mass", "ratio", "required", "proximal_idx", "distal_idx")
 
 
 @query("ag42", f"""WITH {LM}, p AS (SELECT attempt_id, frame_id, max(x) FILTER (idx=11) AS lsx, max(y) FILTER (idx=11) AS lsy, max(x) FILTER (idx=12) AS rsx, max(y) FILTER (idx=12) AS rsy, max(x) FILTER (idx=23) AS lhx, max(y) FILTER (idx=23) AS lhy, max(x) FILTER (idx=24) AS rhx, max(y) FILTER (idx=24) AS rhy,
@@ -94,7 +95,7 @@ def prj15(spark, sf):
 @query("prj15_range", f"WITH {LM}, f AS (SELECT DISTINCT attempt_id, frame_id, raw_time FROM lm WHERE raw_time BETWEEN 1-0.001 AND 8+0.001), n AS (SELECT *, row_number() OVER (PARTITION BY attempt_id ORDER BY raw_time) AS rn FROM f) SELECT attempt_id, frame_id, floor((raw_time-1)*1000+0.5)/1000 AS climb_time FROM n WHERE rn <= 450")
 def prj15_range(spark, sf):
     f = frames(spark, sf).withColumns({"start_s": F.lit(1.0), "end_s": F.lit(8.0)})
-    return P.first_frames(f).select("attempt_id", "frame_id", "climb_time")
+    return P.first_frames(f, limit=450).select("attempt_id", "frame_id", "climb_time")
 
 
 @query("prj16", f"WITH {LM} SELECT attempt_id, frame_id, CAST(idx AS INTEGER) AS idx, x, y FROM lm WHERE idx BETWEEN 15 AND 22")
