@@ -1,7 +1,8 @@
 """Usable notes by importance resampling: hashed n-gram models of target and raw notes, sampled by Gumbel top-k.
 
-Method. Both models say how likely a note holds a hashed n-gram: words, pairs of words, five letters of a word and four
-or eight equal words in a row. The target model counts notes labelled usable, the raw model all notes. A note's log
+Method. Both models say how likely a note holds a hashed n-gram: words, five letters of a word and four or eight equal
+words in a row. Each n-gram is hashed into two tables, and the table that says less counts, so that a rare n-gram doesn't
+inherit what another one of its bucket means. The target model counts notes labelled usable, the raw model all notes. A note's log
 weight is the sum over its n-grams of the log ratio of the two, where they differ by more than chance. Gumbel noise is
 added and the notes with the largest sums are the sample.
 """
@@ -18,21 +19,21 @@ from pyspark.sql import functions as F
 
 from paceline.llm.common import WordHashes, cut, hash_words, mixed, row_key, text_batches
 
-#: Buckets of the hashed n-grams, and how many of them travel together.
-BUCKETS, SLICE = 1 << 20, 1 << 12
+#: Buckets of a table, of both, and how many of them travel together.
+TABLE, BUCKETS, SLICE = 1 << 20, 1 << 21, 1 << 13
+COUNTS = "slice int, raw array<long>, target array<long>, labelled array<long>"
 #: Of cuts whose kept shares differ by no more than this from the best, the one that keeps most is taken.
 NEARLY_BEST = 0.005
 #: Values of a step of the search for the k-th largest key, and keys that are sorted at its end.
 STEPS, SORTED_AT_ONCE = 1024, 5_000
 
 
-def features(rows: list[list[bytes]], known: WordHashes) -> tuple[np.ndarray, np.ndarray]:
-    """(row, bucket) of the distinct n-grams of each row, in the order of rows."""
+def features(rows: list[list[bytes]], known: WordHashes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, bucket in the first and in the second table of the distinct n-grams of each row, in the order of rows."""
     lengths = np.fromiter(map(len, rows), np.int64, len(rows))
     ids = hash_words([w for row in rows for w in row], known)
     row = np.repeat(np.arange(len(rows)), lengths)
     same_row = row[1:] == row[:-1]
-    pairs = mixed((ids[:-1] * np.uint64(0x9E3779B97F4A7C15)) ^ (ids[1:] * np.uint64(0xC2B2AE3D27D4EB4F)))[same_row]
     # Five letters of a word, its bounds (spaces) included, packed into one number.
     texts = [b" " + b" ".join(own) + b" " if own else b"" for own in rows]
     letters = np.frombuffer(b"".join(texts), np.uint8)
@@ -48,33 +49,38 @@ def features(rows: list[list[bytes]], known: WordHashes) -> tuple[np.ndarray, np
     four = equal[:-2] & equal[1:-1] & equal[2:] if len(equal) > 2 else np.zeros(0, bool)
     eight = four[:-4] & equal[3 : len(four) - 1] & four[4:] if len(four) > 4 else np.zeros(0, bool)
     repeats = [(np.flatnonzero(x), np.uint64(v)) for x, v in ((four, 0x4444), (eight, 0x8888))]
-    rows_of = np.concatenate([row, row[1:][same_row], letter_row[:n][inside], *[row[at] for at, _ in repeats]])
-    hashes = np.concatenate([mixed(ids), pairs, fives, *[np.full(len(at), v) for at, v in repeats]])
-    keys = np.sort(rows_of * BUCKETS + (hashes % np.uint64(BUCKETS)).astype(np.int64))
+    rows_of = np.concatenate([row, letter_row[:n][inside], *[row[at] for at, _ in repeats]])
+    hashes = np.concatenate([mixed(ids), fives, *[np.full(len(at), mixed(np.array([v]))[0]) for at, v in repeats]])
+    keys = np.sort((rows_of << 40) | (hashes >> np.uint64(24)).astype(np.int64))
     keys = keys[np.concatenate([[True], keys[1:] != keys[:-1]])] if len(keys) else keys
-    return keys // BUCKETS, keys % BUCKETS
+    return keys >> 40, (keys >> 20) & (TABLE - 1), TABLE + (keys & (TABLE - 1))
 
 
-def log_ratios(target: np.ndarray, raw: np.ndarray) -> np.ndarray:
+def log_ratios(target: np.ndarray, raw: np.ndarray, labelled: np.ndarray) -> np.ndarray:
     """For each bucket the log ratio of the models, relative to the ratio that most n-grams have.
 
-    It is 0 where the Poisson deviance is below 1.5 ln(number of buckets in use), which chance exceeds in few buckets, and
+    It is 0 where, among labelled notes, the Poisson deviance is below 1.5 ln(number of buckets in use), which chance
+    exceeds in few buckets (n-grams of notes that nobody labelled, such as a family of copies, say nothing), and
     where the two differ by less than a factor of two: many small differences would only add up with a note's length.
     """
     if not target.any():
         return np.zeros(len(raw), np.float32)
-    often = np.argsort(raw)[-5000:]
-    often = often[raw[often] > 0]
-    often = often[np.argsort(target[often] / raw[often], kind="stable")]
-    middle = np.searchsorted(np.cumsum(raw[often]), raw[often].sum() / 2)
-    usual = max(target[often[middle]] / raw[often[middle]], 1e-9)
-    expected = raw * usual
-    ratio = np.log((target + 0.5) / (expected + 0.5))
+    ratio = np.log((target + 0.5) / (raw * usual_share(target, raw) + 0.5))
+    expected = labelled * usual_share(target, labelled)
     deviance = 2 * (target * np.log(np.maximum(target, 1e-9) / np.maximum(expected, 1e-9)) - (target - expected))
-    ratio[(raw == 0) | (deviance < 1.5 * math.log(max(2, int((raw > 0).sum())))) | (np.abs(ratio) < math.log(2))] = 0
+    ratio[(labelled == 0) | (deviance < 1.5 * math.log(max(2, int((labelled > 0).sum())))) | (np.abs(ratio) < math.log(2))] = 0
     return ratio.astype(np.float32)
 
 
+def usual_share(part: np.ndarray, whole: np.ndarray) -> float:
+    """The share that the most frequent buckets have in the median."""
+    often = np.argsort(whole)[-5000:]
+    often = often[whole[often] > 0]
+    often = often[np.argsort(part[often] / whole[often], kind="stable")]
+    middle = np.searchsorted(np.cumsum(whole[often]), whole[often].sum() / 2)
+    return max(part[often[middle]] / whole[often[middle]], 1e-9)
+
+
 def best_cut(weights: np.ndarray, usable: np.ndarray) -> float:
     """The log weight that best parts labelled usable notes from the others (largest difference of the kept shares)."""
     if usable.all() or not usable.any():
@@ -115,37 +121,42 @@ def sample_usable_notes(
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = WordHashes()
-        raw, target = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
+        raw, target, labelled = (np.zeros(BUCKETS, np.int64) for _ in range(3))
         for frame, words in text_batches(batches, "text", False):
-            flags = (frame["usable"] == 1).to_numpy()
-            row, bucket = features(words, known)
-            raw += np.bincount(bucket, minlength=BUCKETS)
-            target += np.bincount(bucket[flags[row]], minlength=BUCKETS)
+            flags, seen = (frame["usable"] == 1).to_numpy(), frame["usable"].notna().to_numpy()
+            row, *tables = features(words, known)
+            for bucket in tables:
+                raw += np.bincount(bucket, minlength=BUCKETS)
+                target += np.bincount(bucket[flags[row]], minlength=BUCKETS)
+                labelled += np.bincount(bucket[seen[row]], minlength=BUCKETS)
         slices = range(0, BUCKETS, SLICE)
-        yield pd.DataFrame({"slice": [i // SLICE for i in slices], "raw": [raw[i : i + SLICE] for i in slices], "target": [target[i : i + SLICE] for i in slices]})
+        yield pd.DataFrame({"slice": [i // SLICE for i in slices], "raw": [raw[i : i + SLICE] for i in slices], "target": [target[i : i + SLICE] for i in slices], "labelled": [labelled[i : i + SLICE] for i in slices]})
 
     def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         slices: dict[int, list[np.ndarray]] = {}
         for frame in batches:
-            for s, r, t in zip(frame["slice"], frame["raw"], frame["target"], strict=True):
-                own = slices.setdefault(s, [np.zeros(SLICE, np.int64), np.zeros(SLICE, np.int64)])
-                own[0] += r
-                own[1] += t
+            for s, *parts in zip(frame["slice"], frame["raw"], frame["target"], frame["labelled"], strict=True):
+                own = slices.setdefault(s, [np.zeros(SLICE, np.int64) for _ in range(3)])
+                for total, part in zip(own, parts, strict=True):
+                    total += part
         if slices:
-            yield pd.DataFrame({"slice": list(slices), "raw": [x[0] for x in slices.values()], "target": [x[1] for x in slices.values()]})
+            yield pd.DataFrame({"slice": list(slices), "raw": [x[0] for x in slices.values()], "target": [x[1] for x in slices.values()], "labelled": [x[2] for x in slices.values()]})
 
-    counted = marked.mapInPandas(count, "slice int, raw array<long>, target array<long>").repartition("slice").mapInPandas(add, "slice int, raw array<long>, target array<long>")
-    raw, target = np.zeros(BUCKETS), np.zeros(BUCKETS)
+    counted = marked.mapInPandas(count, COUNTS).repartition("slice").mapInPandas(add, COUNTS)
+    raw, target, known_rows = (np.zeros(BUCKETS) for _ in range(3))
     for r in counted.toLocalIterator():  # the model: BUCKETS pairs of numbers at any size
         raw[r["slice"] * SLICE : (r["slice"] + 1) * SLICE] = r["raw"]
         target[r["slice"] * SLICE : (r["slice"] + 1) * SLICE] = r["target"]
-    model = spark.sparkContext.broadcast(log_ratios(target, raw))
+        known_rows[r["slice"] * SLICE : (r["slice"] + 1) * SLICE] = r["labelled"]
+    model = spark.sparkContext.broadcast(log_ratios(target, raw, known_rows))
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = WordHashes()
         for frame, words in text_batches(batches, "text", False):
-            row, bucket = features(words, known)
-            weight = np.bincount(row, weights=model.value[bucket], minlength=len(words))
+            row, one, two = features(words, known)
+            a, b = model.value[one], model.value[two]
+            least = np.where((a < 0) & (b < 0), np.maximum(a, b), np.where((a > 0) & (b > 0), np.minimum(a, b), 0))
+            weight = np.bincount(row, weights=least, minlength=len(words))
             noise = frame["noise"].to_numpy()
             uniform = ((noise.view(np.uint64) >> np.uint64(11)).astype(np.float64) + 0.5) / (1 << 53)
             yield pd.DataFrame({"id": frame["id"], "usable": frame["usable"], "log_weight": weight, "sample_key": weight - np.log(-np.log(uniform))})
