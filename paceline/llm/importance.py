@@ -98,7 +98,7 @@ def best_cut(weights: np.ndarray, usable: np.ndarray) -> float:
 
 
 def sample_usable_notes(
-    attempts: DataFrame, labels: DataFrame, attempt_id: str = "attempt_id", notes: str = "notes", usable: str = "usable", keep: int | None = None, labelled_rows: int = 100_000, seed: int = 1
+    attempts: DataFrame, labels: DataFrame, attempt_id: str = "attempt_id", notes: str = "notes", usable: str = "usable", keep: int | None = None, labelled_rows: int = 100_000, seed: int = 1, carry: tuple[str, ...] = ()
 ) -> DataFrame:
     """A sample of notes that reads like the notes labelled usable: (attempt_id, log_weight, sample_key, kept).
 
@@ -109,11 +109,13 @@ def sample_usable_notes(
     nearly whole. The sample is drawn without replacement in proportion to the weights (Gumbel top-k); the noise of a
     note depends on its id, its text and seed only, so that repeated rows share their fate and a lost task repeats it.
     Notes that tie with the last of the sample are kept. Null or blank notes have weight 1 (log weight 0). Without
-    usable labels all weights are 1. Every row is returned; further columns are ignored.
+    usable labels all weights are 1. Every row is returned; of further columns only those of carry are kept.
     """
     spark = attempts.sparkSession
     kind = attempts.schema[attempt_id].dataType.simpleString()
-    rows = attempts.select(F.col(attempt_id).cast("string").alias("id"), F.col(notes).cast("string").alias("text"))
+    rows = attempts.select(F.col(attempt_id).cast("string").alias("id"), F.col(notes).cast("string").alias("text"), *[F.col(c).alias(f"carried_{i}") for i, c in enumerate(carry)])
+    carried = [f"carried_{i}" for i in range(len(carry))]
+    types = "".join(f", {c} {rows.schema[c].dataType.simpleString()}" for c in carried)
     label = labels.where(F.col(attempt_id).isNotNull() & F.col(usable).isNotNull()).groupBy(F.col(attempt_id).cast("string").alias("id")).agg(F.min(F.col(usable).cast("int")).alias("usable"))
     # At most labelled_rows rows of an id and a flag: small enough to be sent to every executor.
     fitted = label.orderBy(F.xxhash64("id"), "id").limit(labelled_rows)
@@ -159,15 +161,15 @@ def sample_usable_notes(
             weight = np.bincount(row, weights=least, minlength=len(words))
             noise = frame["noise"].to_numpy()
             uniform = ((noise.view(np.uint64) >> np.uint64(11)).astype(np.float64) + 0.5) / (1 << 53)
-            yield pd.DataFrame({"id": frame["id"], "usable": frame["usable"], "log_weight": weight, "sample_key": weight - np.log(-np.log(uniform))})
+            yield pd.DataFrame({"id": frame["id"], "usable": frame["usable"], "log_weight": weight, "sample_key": weight - np.log(-np.log(uniform))} | {c: frame[c].to_numpy() for c in carried})
 
-    scored = cut(marked.withColumn("noise", F.xxhash64(row_key("id", "text"), F.lit(seed))).mapInPandas(score, "id string, usable int, log_weight double, sample_key double"))
+    scored = cut(marked.withColumn("noise", F.xxhash64(row_key("id", "text"), F.lit(seed))).mapInPandas(score, "id string, usable int, log_weight double, sample_key double" + types))
     if keep is None:
         seen = scored.where("usable is not null").orderBy(F.xxhash64("id"), "id").limit(labelled_rows).select("log_weight", "usable").toPandas()
         least = best_cut(seen["log_weight"].to_numpy(), seen["usable"].to_numpy() == 1)
         keep = scored.where(F.col("log_weight") > F.lit(least)).count()
     threshold = kth_largest(scored, "sample_key", keep)
-    return scored.select(F.col("id").cast(kind).alias(attempt_id), "log_weight", "sample_key", (F.col("sample_key") >= F.lit(threshold)).alias("kept"))
+    return scored.select(F.col("id").cast(kind).alias(attempt_id), "log_weight", "sample_key", (F.col("sample_key") >= F.lit(threshold)).alias("kept"), *[F.col(f"carried_{i}").alias(c) for i, c in enumerate(carry)])
 
 
 def kth_largest(rows: DataFrame, column: str, k: int) -> float:

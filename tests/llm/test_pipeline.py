@@ -59,3 +59,18 @@ def test_run_applies_all_stages(spark, folder):
     out = corpus_pipeline.run(spark, folder)
     assert out.columns == ["doc_id", "n_tokens", "token_ids", "text"]
     assert 0 < out.count() < spark.read.parquet(f"{folder}/documents.parquet").count()
+
+
+def test_rows_that_share_an_id_are_judged_by_their_own_text(spark, folder):
+    rnd = random.Random(4)
+    some = lambda: " ".join(f"z{rnd.randrange(900)}" for _ in range(60))
+    item, a, b, c = " ".join(f"q{i}" for i in range(20)), some(), some(), some()
+    docs = [(None, a, "en", "s", 1), (None, b, "en", "s", 2), (None, b, "en", "s", 2), (None, f"{c} {item}", "en", "s", 3), (5, c, "en", "s", 4), (5, a + " more", "en", "s", 5), (6, f"vile {c} vile2", "en", "s", 6), (6, b + " tail", "en", "s", 7), (7, None, "en", "s", None), (7, "", "en", "s", 0)]
+    held = spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    stages = dict(corpus_pipeline.STAGES)
+    assert rows(stages["near_duplicates"](spark, held, folder)) == sorted((docs[i] for i in (3, 4, 5, 7, 8, 9)), key=str)
+    assert rows(stages["decontaminate"](spark, held, folder)) == sorted(docs[:3] + docs[4:], key=str)
+    whole = spark.read.parquet(f"{folder}/documents.parquet")
+    bad = whole.where("text like '%vile%'").selectExpr("cast(null as long) as doc_id", "text", "lang", "source", "n_chars")
+    kept = rows(stages["quality"](spark, whole.union(bad), folder))
+    assert not any("vile" in (r[1] or "") for r in kept) and any(r[0] is None for r in kept)
