@@ -1,10 +1,11 @@
-"""Usable notes by importance resampling: hashed n-gram models of target and raw notes, sampled by Gumbel top-k.
-
-Method. Both models say how likely a note holds a hashed n-gram: words, five letters of a word and four or eight equal
-words in a row. Each n-gram is hashed into two tables, and the table that says less counts, so that a rare n-gram doesn't
-inherit what another one of its bucket means. The target model counts notes labelled usable, the raw model all notes. A note's log
-weight is the sum over its n-grams of the log ratio of the two, where they differ by more than chance. Gumbel noise is
-added and the notes with the largest sums are the sample.
+"""Usable notes by importance resampling: n-gram models of target and raw notes, sampled by Gumbel top-k.
+
+Method. Both models say how likely a note holds an n-gram: words, pairs of words, five letters of a word and four or eight
+equal words in a row. N-grams are counted by hashes of 44 bits, without buckets, so that none inherits what another one
+means however many there are. The target model counts notes labelled usable, the raw model all notes. First the n-grams of
+the labelled notes are counted; of those in two notes or more, the ones that tell usable notes from others by more than
+chance (and the commonest, which set the scale) are then counted over all notes. A note's log weight is the sum over its
+n-grams of the log ratio of the two models. Gumbel noise is added and the notes with the largest sums are the sample.
 """
 
 from __future__ import annotations
@@ -19,21 +20,23 @@ from pyspark.sql import functions as F
 
 from paceline.llm.common import WordHashes, cut, hash_words, mixed, row_key, text_batches
 
-#: Buckets of a table, of both, and how many of them travel together.
-TABLE, BUCKETS, SLICE = 1 << 20, 1 << 21, 1 << 13
-COUNTS = "slice int, raw array<long>, target array<long>, labelled array<long>"
+#: Bits of an n-gram's hash; the others of a 63-bit key number the rows of a batch.
+HASH_BITS = 44
+#: N-grams that a task gathers before it hands their counts on, and the commonest n-grams, which set the scale of the models.
+GATHERED, COMMON = 4_000_000, 5_000
 #: Of cuts whose kept shares differ by no more than this from the best, the one that keeps most is taken.
 NEARLY_BEST = 0.005
 #: Values of a step of the search for the k-th largest key, and keys that are sorted at its end.
 STEPS, SORTED_AT_ONCE = 1024, 5_000
 
 
-def features(rows: list[list[bytes]], known: WordHashes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row, bucket in the first and in the second table of the distinct n-grams of each row, in the order of rows."""
+def features(rows: list[list[bytes]], known: WordHashes) -> tuple[np.ndarray, np.ndarray]:
+    """(row, hash) of the distinct n-grams of each row, in the order of rows."""
     lengths = np.fromiter(map(len, rows), np.int64, len(rows))
     ids = hash_words([w for row in rows for w in row], known)
     row = np.repeat(np.arange(len(rows)), lengths)
     same_row = row[1:] == row[:-1]
+    pairs = mixed((ids[:-1] * np.uint64(0x9E3779B97F4A7C15)) ^ (ids[1:] * np.uint64(0xC2B2AE3D27D4EB4F)))[same_row]
     # Five letters of a word, its bounds (spaces) included, packed into one number.
     texts = [b" " + b" ".join(own) + b" " if own else b"" for own in rows]
     letters = np.frombuffer(b"".join(texts), np.uint8)
@@ -49,36 +52,36 @@ def features(rows: list[list[bytes]], known: WordHashes) -> tuple[np.ndarray, np
     four = equal[:-2] & equal[1:-1] & equal[2:] if len(equal) > 2 else np.zeros(0, bool)
     eight = four[:-4] & equal[3 : len(four) - 1] & four[4:] if len(four) > 4 else np.zeros(0, bool)
     repeats = [(np.flatnonzero(x), np.uint64(v)) for x, v in ((four, 0x4444), (eight, 0x8888))]
-    rows_of = np.concatenate([row, letter_row[:n][inside], *[row[at] for at, _ in repeats]])
-    hashes = np.concatenate([mixed(ids), fives, *[np.full(len(at), mixed(np.array([v]))[0]) for at, v in repeats]])
-    keys = np.sort((rows_of << 40) | (hashes >> np.uint64(24)).astype(np.int64))
+    rows_of = np.concatenate([row, row[1:][same_row], letter_row[:n][inside], *[row[at] for at, _ in repeats]])
+    hashes = np.concatenate([mixed(ids), pairs, fives, *[np.full(len(at), mixed(np.array([v]))[0]) for at, v in repeats]])
+    keys = np.sort((rows_of << HASH_BITS) | (hashes >> np.uint64(64 - HASH_BITS)).astype(np.int64))
     keys = keys[np.concatenate([[True], keys[1:] != keys[:-1]])] if len(keys) else keys
-    return keys >> 40, (keys >> 20) & (TABLE - 1), TABLE + (keys & (TABLE - 1))
+    return keys >> HASH_BITS, keys & ((1 << HASH_BITS) - 1)
+
+
+def counted(keys: list[np.ndarray], flags: list[np.ndarray]) -> pd.DataFrame:
+    """How often each n-gram stands in labelled notes, and in usable ones."""
+    key, where = np.unique(np.concatenate(keys), return_inverse=True)
+    target = np.bincount(where, weights=np.concatenate(flags), minlength=len(key)).astype(np.int64)
+    return pd.DataFrame({"key": key, "labelled": np.bincount(where, minlength=len(key)), "target": target})
 
 
-def log_ratios(target: np.ndarray, raw: np.ndarray, labelled: np.ndarray) -> np.ndarray:
-    """For each bucket the log ratio of the models, relative to the ratio that most n-grams have.
+def log_ratios(target: np.ndarray, raw: np.ndarray, common: np.ndarray) -> np.ndarray:
+    """For each n-gram the log ratio of the models, relative to the ratio that most of the common n-grams have.
 
-    It is 0 where, among labelled notes, the Poisson deviance is below 1.5 ln(number of buckets in use), which chance
-    exceeds in few buckets (n-grams of notes that nobody labelled, such as a family of copies, say nothing), and
-    where the two differ by less than a factor of two: many small differences would only add up with a note's length.
+    It is 0 where the two differ by less than a factor of two: many small differences would only add up with a note's
+    length.
     """
-    if not target.any():
-        return np.zeros(len(raw), np.float32)
-    ratio = np.log((target + 0.5) / (raw * usual_share(target, raw) + 0.5))
-    expected = labelled * usual_share(target, labelled)
-    deviance = 2 * (target * np.log(np.maximum(target, 1e-9) / np.maximum(expected, 1e-9)) - (target - expected))
-    ratio[(labelled == 0) | (deviance < 1.5 * math.log(max(2, int((labelled > 0).sum())))) | (np.abs(ratio) < math.log(2))] = 0
+    ratio = np.log((target + 0.5) / (raw * usual_share(target[common], raw[common]) + 0.5))
+    ratio[np.abs(ratio) < math.log(2)] = 0
     return ratio.astype(np.float32)
 
 
 def usual_share(part: np.ndarray, whole: np.ndarray) -> float:
-    """The share that the most frequent buckets have in the median."""
-    often = np.argsort(whole)[-5000:]
-    often = often[whole[often] > 0]
-    often = often[np.argsort(part[often] / whole[often], kind="stable")]
-    middle = np.searchsorted(np.cumsum(whole[often]), whole[often].sum() / 2)
-    return max(part[often[middle]] / whole[often[middle]], 1e-9)
+    """The share that frequent n-grams have in the median."""
+    order = np.argsort(part / whole, kind="stable")
+    middle = np.searchsorted(np.cumsum(whole[order]), whole.sum() / 2)
+    return max(part[order[middle]] / whole[order[middle]], 1e-9)
 
 
 def best_cut(weights: np.ndarray, usable: np.ndarray) -> float:
@@ -121,44 +124,53 @@ def sample_usable_notes(
     fitted = label.orderBy(F.xxhash64("id"), "id").limit(labelled_rows)
     marked = rows.join(F.broadcast(fitted), "id", "left")
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def count_labelled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = WordHashes()
-        raw, target, labelled = (np.zeros(BUCKETS, np.int64) for _ in range(3))
+        keys, flags, size = [], [], 0
         for frame, words in text_batches(batches, "text", False):
-            flags, seen = (frame["usable"] == 1).to_numpy(), frame["usable"].notna().to_numpy()
-            row, *tables = features(words, known)
-            for bucket in tables:
-                raw += np.bincount(bucket, minlength=BUCKETS)
-                target += np.bincount(bucket[flags[row]], minlength=BUCKETS)
-                labelled += np.bincount(bucket[seen[row]], minlength=BUCKETS)
-        slices = range(0, BUCKETS, SLICE)
-        yield pd.DataFrame({"slice": [i // SLICE for i in slices], "raw": [raw[i : i + SLICE] for i in slices], "target": [target[i : i + SLICE] for i in slices], "labelled": [labelled[i : i + SLICE] for i in slices]})
-
-    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        slices: dict[int, list[np.ndarray]] = {}
-        for frame in batches:
-            for s, *parts in zip(frame["slice"], frame["raw"], frame["target"], frame["labelled"], strict=True):
-                own = slices.setdefault(s, [np.zeros(SLICE, np.int64) for _ in range(3)])
-                for total, part in zip(own, parts, strict=True):
-                    total += part
-        if slices:
-            yield pd.DataFrame({"slice": list(slices), "raw": [x[0] for x in slices.values()], "target": [x[1] for x in slices.values()], "labelled": [x[2] for x in slices.values()]})
-
-    counted = marked.mapInPandas(count, COUNTS).repartition("slice").mapInPandas(add, COUNTS)
-    raw, target, known_rows = (np.zeros(BUCKETS) for _ in range(3))
-    for r in counted.toLocalIterator():  # the model: BUCKETS pairs of numbers at any size
-        raw[r["slice"] * SLICE : (r["slice"] + 1) * SLICE] = r["raw"]
-        target[r["slice"] * SLICE : (r["slice"] + 1) * SLICE] = r["target"]
-        known_rows[r["slice"] * SLICE : (r["slice"] + 1) * SLICE] = r["labelled"]
-    model = spark.sparkContext.broadcast(log_ratios(target, raw, known_rows))
+            row, key = features(words, known)
+            keys.append(key)
+            flags.append((frame["usable"] == 1).to_numpy()[row])
+            size += len(key)
+            if size >= GATHERED:
+                yield counted(keys, flags)
+                keys, flags, size = [], [], 0
+        if size:
+            yield counted(keys, flags)
+
+    labelled = marked.where("usable is not null").select("text", "usable").mapInPandas(count_labelled, "key long, labelled long, target long")
+    grams = cut(labelled.groupBy("key").agg(F.sum("labelled").alias("labelled"), F.sum("target").alias("target")).where("labelled > 1"))
+    common = grams.orderBy(F.desc("labelled"), "key").limit(COMMON).toPandas()
+    keys, ratios = np.empty(0, np.int64), np.empty(0, np.float32)
+    if common["target"].any():
+        # N-grams whose Poisson deviance among labelled notes is more than chance exceeds in few of them.
+        expected = F.col("labelled") * F.lit(float(usual_share(common["target"].to_numpy(), common["labelled"].to_numpy())))
+        deviance = 2 * (F.when(F.col("target") > 0, F.col("target") * F.log(F.col("target") / expected)).otherwise(0.0) - (F.col("target") - expected))
+        telling = grams.where(deviance >= F.lit(1.5 * math.log(max(2, grams.count())))).select("key", "labelled", "target").toPandas()
+        held = pd.concat([telling, common]).drop_duplicates("key").sort_values("key", ignore_index=True)
+        wanted = spark.sparkContext.broadcast(held["key"].to_numpy())
+
+        def count_all(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            known, keys = WordHashes(), wanted.value
+            raw = np.zeros(len(keys), np.int64)
+            for _, words in text_batches(batches, "text", False):
+                at, found = places(keys, features(words, known)[1])
+                raw += np.bincount(at[found], minlength=len(keys))
+            yield pd.DataFrame({"key": keys, "raw": raw})[raw > 0]
+
+        raw = marked.select("text").mapInPandas(count_all, "key long, raw long").groupBy("key").agg(F.sum("raw").alias("raw")).toPandas()
+        held = held.merge(raw, on="key").sort_values("key", ignore_index=True)
+        ratios = log_ratios(held["target"].to_numpy(), held["raw"].to_numpy(), held["key"].isin(common["key"]).to_numpy())
+        says = (ratios != 0) & held["key"].isin(telling["key"]).to_numpy()
+        keys, ratios = held["key"].to_numpy()[says], ratios[says]
+    model = spark.sparkContext.broadcast((keys, ratios))
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known = WordHashes()
+        known, (keys, ratios) = WordHashes(), model.value
         for frame, words in text_batches(batches, "text", False):
-            row, one, two = features(words, known)
-            a, b = model.value[one], model.value[two]
-            least = np.where((a < 0) & (b < 0), np.maximum(a, b), np.where((a > 0) & (b > 0), np.minimum(a, b), 0))
-            weight = np.bincount(row, weights=least, minlength=len(words))
+            row, key = features(words, known)
+            at, found = places(keys, key)
+            weight = np.bincount(row[found], weights=ratios[at[found]], minlength=len(words))
             noise = frame["noise"].to_numpy()
             uniform = ((noise.view(np.uint64) >> np.uint64(11)).astype(np.float64) + 0.5) / (1 << 53)
             yield pd.DataFrame({"id": frame["id"], "usable": frame["usable"], "log_weight": weight, "sample_key": weight - np.log(-np.log(uniform))} | {c: frame[c].to_numpy() for c in carried})
@@ -172,6 +184,19 @@ def sample_usable_notes(
     return scored.select(F.col("id").cast(kind).alias(attempt_id), "log_weight", "sample_key", (F.col("sample_key") >= F.lit(threshold)).alias("kept"), *[F.col(f"carried_{i}").alias(c) for i, c in enumerate(carry)])
 
 
+def places(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each of wanted stands in sorted keys, and whether it does."""
+    if not len(keys):
+        return np.zeros(len(wanted), np.int64), np.zeros(len(wanted), bool)
+    near = np.zeros(1 << 20, bool)
+    near[keys & ((1 << 20) - 1)] = True
+    maybe = np.flatnonzero(near[wanted & ((1 << 20) - 1)])
+    at, found = np.zeros(len(wanted), np.int64), np.zeros(len(wanted), bool)
+    at[maybe] = np.minimum(np.searchsorted(keys, wanted[maybe]), len(keys) - 1)
+    found[maybe] = keys[at[maybe]] == wanted[maybe]
+    return at, found
+
+
 def kth_largest(rows: DataFrame, column: str, k: int) -> float:
     """The k-th largest value, exactly: counts of STEPS ranges, then of the range that holds it, until few are left to sort."""
     if k <= 0:

@@ -7,7 +7,8 @@ import pytest
 pytest.importorskip("xxhash")
 
 from paceline.llm.bpe import WordBpe, decode_notes, encode_notes
-from paceline.llm.importance import kth_largest, sample_usable_notes
+from paceline.llm.common import WordHashes
+from paceline.llm.importance import features, kth_largest, sample_usable_notes
 from paceline.llm.jaccard import allocate, band_edges, most_different, near_duplicate_notes
 from paceline.llm.leaks import find_leaked_items
 from paceline.llm.passages import remove_repeated_passages
@@ -200,6 +201,29 @@ def test_sampling_keeps_usable_and_drops_the_rest(spark):
     assert sample_usable_notes(attempts(spark, rows[:5]), held.limit(0)).where("kept").count() == 5
 
 
+def test_every_n_gram_has_its_own_count():
+    rnd = random.Random(6)
+    words = ["".join(rnd.choice("abcdefghijklmnop") for _ in range(rnd.randrange(3, 9))).encode() for _ in range(200_000)]
+    text = b" " + b" ".join(words) + b" "
+    fives = {text[i : i + 5] for i in range(len(text) - 4) if b" " not in text[i + 1 : i + 4]}
+    row, key = features([words, words[:2]], WordHashes())
+    assert (row == 0).sum() == len(set(key[row == 0])) == len(set(words)) + len(set(zip(words, words[1:]))) + len(fives)
+
+
+def test_sampling_knows_pairs_of_words(spark):
+    rnd = random.Random(12)
+    rows, labels = [], []
+    for i in range(800):
+        own = [f"k{rnd.randrange(200)}" for _ in range(40)]
+        own[5:5], own[20:20] = (["cold"], ["call"]) if i % 4 else (["cold", "call"], ["cold", "call"])
+        rows.append((f"s{i}", " ".join(own)))
+        if i < 500:
+            labels.append((f"s{i}", int(i % 4 > 0)))
+    got = {r["attempt_id"]: r["kept"] for r in sample_usable_notes(attempts(spark, rows), spark.createDataFrame(labels, "attempt_id string, usable int")).collect()}
+    assert sum(got[f"s{i}"] for i in range(500, 800, 4)) <= 0.1 * 75  # the sample's noise may keep one
+    assert sum(got[f"s{i}"] for i in range(500, 800) if i % 4) >= 0.95 * 225
+
+
 def test_kth_largest_is_exact(spark):
     values = [float(x) for x in [5, 5, 5, 1, -3, 7.5, 1e9, 0.25] + list(range(3000))]
     rows = spark.createDataFrame([(v,) for v in values], "v double")
