@@ -9,6 +9,7 @@ are chained, and each block is then traced back between the states that the chai
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,9 +32,18 @@ FEATURES = {"place": 3, "length": 6, "ending": 3, "opening": 4}
 BEGIN = len(ROLES)
 
 
+def marked_span(names: str) -> str:
+    """What marks a speaker at the start of a line: a name closed by a bracket, stars or a colon, or after a chat token.
+
+    Colons, stars and brackets further on are text. Read alike by Java and by Python (ASCII).
+    """
+    closed = r"(?:(?:[\]>|]+(?:\*+(?![^\s:]))?|\*+)(?::|\s+:(?!\S))?|\s*:(?:\*+(?!\S))?)"
+    return rf"^[\s#*\[<|>]*(?:(?:im_start\|>)?(?:{names}){closed}|im_start\|>(?:{names})(?!\S))"
+
+
 def marker(line: Column) -> Column:
     """Number in MARKS of the speaker marker at the start of a line."""
-    own = [F.when(line.rlike(rf"(?i)^[\s#*\[<|>]*(?:im_start\|>)?(?:{names})(?:[\]>|*]+\s*:?|\s*:)(?:\s|$|\S)"), F.lit(1 + i)) for i, names in enumerate(NAMES.values())]
+    own = [F.when(line.rlike("(?i)" + marked_span(names)), F.lit(1 + i)) for i, names in enumerate(NAMES.values())]
     return F.coalesce(*own, F.when(line.rlike(r"^\s*\p{Lu}[\p{L}.]{0,19}(?: \p{Lu}[\p{L}.]{0,19})?:(?:\s|$)"), F.lit(4)), F.lit(0))
 
 
@@ -201,7 +211,7 @@ def format_transcripts(messages: DataFrame, model: RoleModel, request_id: str =
                     if state < BEGIN:
                         roles.append(ROLES[state])
                         parts.append(f"{'<|end|>' + chr(10) if parts else ''}<|{ROLES[state]}|>\n")
-                        line = unmarked(line) if 1 <= mark <= 3 else line
+                        line = unmarked(line, mark) if 1 <= mark <= 3 else line
                     parts.append(line + "\n")
                 at += len(texts)
                 out.append((roles, len(texts), "".join(parts) + "<|end|>"))
@@ -211,9 +221,6 @@ def format_transcripts(messages: DataFrame, model: RoleModel, request_id: str =
     return done.select(F.col("request_id").cast(kind).alias(request_id), F.col("turn_text").cast(turn_kind).alias(turn), "roles", "n_lines", "formatted")
 
 
-def unmarked(line: str) -> str:
-    """A line without the speaker marker at its start."""
-    head, sep, rest = line.partition(":")
-    if sep and len(head) <= 24:
-        return rest.strip()
-    return line.rpartition(">")[2].rpartition("]")[2].strip() if len(line) <= 48 else line
+def unmarked(line: str, mark: int) -> str:
+    """A line without the speaker marker at its start, of the role of that number in MARKS."""
+    return re.sub(marked_span(NAMES[MARKS[mark]]), "", line, count=1, flags=re.IGNORECASE | re.ASCII).strip()

@@ -9,6 +9,7 @@ import zipfile
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 pytest.importorskip("xxhash")
 
@@ -17,7 +18,7 @@ from paceline.llm.archives import Package, new_archive_folder, read_archives, wr
 from paceline.llm.content import example_page, extract_content, fit_content, labelled_pages, parse
 from paceline.llm.lattice import decode_e8, near_duplicate_frames
 from paceline.llm.reputation import judge_pages
-from paceline.llm.transcripts import fit_roles, format_transcripts
+from paceline.llm.transcripts import fit_roles, format_transcripts, marker, unmarked
 
 
 def pages(spark, rows):
@@ -201,3 +202,17 @@ def test_blocks_don_t_change_the_best_path(spark, monkeypatch):
 def test_archive_names_are_new(spark):
     assert new_archive_folder(spark) != new_archive_folder(spark)
     assert uuid.uuid4()
+
+
+def test_only_the_marker_is_taken_off_a_line(spark):
+    far = "word " * 20
+    lines = [
+        ("<|user|> Meet at 10:30", 2, "Meet at 10:30"), ("[USER] see [1] for more", 2, "see [1] for more"), ("<user> a > b", 2, "a > b"), (f"[assistant] {far}a: b > c]", 3, f"{far}a: b > c]"),
+        ("<|im_start|>user", 2, ""), ("<|im_start|>system be kind: always", 1, "be kind: always"), ("**Coach:** go *now*", 3, "go *now*"), ("User:*really* fast: 9.1", 2, "*really* fast: 9.1"), ("[user] :) fine", 2, ":) fine"),
+        ("<user>**bold** text", 2, "**bold** text"), ("**User**: hi", 2, "hi"), ("### System: a", 1, "a"), ("<|assistant|>: ok > fine", 3, "ok > fine"), ("user name is set", 0, None), ("<|im_start|>users all", 0, None),
+    ]
+    found = spark.createDataFrame([(i, x) for i, (x, _, _) in enumerate(lines)], "i int, line string").select("i", "line", marker(F.col("line")).alias("mark")).collect()
+    for r in found:
+        _, mark, text = lines[r["i"]]
+        assert r["mark"] == mark, r["line"]
+        assert text is None or unmarked(r["line"], r["mark"]) == text, r["line"]
