@@ -19,10 +19,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Fixed values of HTML: elements without an end, elements whose text is never shown or typed, and elements inside a line.
+#: Fixed values of HTML: elements without an end, elements whose text is never shown or typed, and elements inside a line
+#: (formulas, drawings and players among them: their text and fallback text is read).
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-SILENT = frozenset("head title script style noscript template svg math iframe object canvas audio video select option textarea button".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark meter output q ruby rp rt s samp small span strike strong sub sup time tt u var".split())
+SILENT = frozenset("head title script style noscript template annotation annotation-xml desc metadata iframe canvas select option textarea button".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark meter output q ruby rp rt s samp small span strike strong sub sup time tt u var math mfenced mfrac mi mn mo mover mpadded mphantom mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover semantics svg tspan object audio video".split())
 #: Fixed values of HTML: which open elements a start tag ends.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "thead": {"tr", "td", "th"}, "tbody": {"thead", "tr", "td", "th"}, "tfoot": {"tbody", "tr", "td", "th"}}
 #: An end or an implied end doesn't reach beyond these.

@@ -216,3 +216,8 @@ def test_only_the_marker_is_taken_off_a_line(spark):
         _, mark, text = lines[r["i"]]
         assert r["mark"] == mark, r["line"]
         assert text is None or unmarked(r["line"], r["mark"]) == text, r["line"]
+
+
+def test_text_of_formulas_and_players_is_read():
+    page = "<article><p>where <math><mi>x</mi><mo>=</mo><mn>1</mn><annotation>tex</annotation></math> holds</p><video src=v>no player here</video><svg><title>t</title><text>label</text></svg></article>"
+    assert " ".join(t for t in parse(page).text if t is not None) == "where x=1 holds no player here label"
