@@ -3,4 +3,4 @@
 
 def load_all() -> None:
     """Register the queries of this subpackage."""
-    from paceline.llm import queries_pages, queries_text  # noqa: F401
+    from paceline.llm import queries_new, queries_pages, queries_text  # noqa: F401
