@@ -138,7 +138,7 @@ def distinct_hue(before: str, after: str) -> Column:
     grey = lambda s: sum(g(s, k) for k in CHANNELS) / 3
     dot = sum((g(before, k) - grey(before)) * (g(after, k) - grey(after)) for k in CHANNELS)
     norm = lambda s: F.sqrt(sum((g(s, k) - grey(s)) * (g(s, k) - grey(s)) for k in CHANNELS))
-    return X.truthy((chroma(before) >= 8) & (chroma(after) >= 8) & (dot / (norm(before) * norm(after)) <= 0.75))
+    return X.truthy((chroma(before) >= 8) & (chroma(after) >= 8) & (dot / F.nullif(norm(before) * norm(after), F.lit(0.0)) <= 0.75))
 
 
 def upper_indicator(samples: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 import importlib
 
-AREAS = ["timing", "library", "study", "runs", "series", "trajectory", "pose", "fusion", "colour", "live", "lights", "tracking"]
+AREAS = ["timing", "library", "study", "runs", "series", "trajectory", "pose", "fusion", "colour", "live", "lights", "tracking", "patches"]
 
 
 def load_all() -> None:
