@@ -129,18 +129,38 @@ def context_key(*cols) -> Column:
     return F.sha2(F.to_json(F.struct(*cols), {"ignoreNullFields": "false"}), 256)
 
 
-def baseline_options(pairs: DataFrame, facts: DataFrame, practice_prefix: str) -> DataFrame:
-    """JN3: may ``b`` serve as baseline for ``c``; if not, why.  ``facts`` comes from ``timing_facts``."""
-    f = facts.select(F.col("attempt_id").alias("_f"), "timing_state", "total_s")
-    df = pairs.join(f, F.col("b.attempt_id") == F.col("_f"), "left").withColumn("_id", identity())
+#: Attempts of one athlete that meet a chosen attempt in one task.
+LIBRARY_PART = 4096
+
+
+def library_attempts(attempts: DataFrame, wide: DataFrame, facts: DataFrame) -> DataFrame:
+    """Attempts with the accepted range, the state of their timing and their total; what a choice of baselines needs."""
+    return accepted_ranges(attempts, wide).join(facts.select("attempt_id", "timing_state", "total_s"), "attempt_id", "left")
+
+
+def baseline_choices(library: DataFrame, chosen: Column, practice_prefix: str, part_rows: int = LIBRARY_PART) -> DataFrame:
+    """JN3: for each chosen attempt every attempt of the same athlete's library, the attempt itself too, and whether it
+    may serve as baseline; if not, the first reason why.
+
+    ``library`` comes from ``library_attempts``; ``chosen`` is a condition on its rows.  Attempts without an athlete form a
+    library of their own.  Athletes with more than ``part_rows`` attempts are dealt out in parts, and their chosen attempts
+    are repeated once for each part, so the work of an athlete spreads over tasks with the number of attempts; the others
+    are joined as they are.  Nothing is collected, and only (athlete, parts) of such athletes is joined beside the pairs.
+    """
+    cols = ["attempt_id", "lineage_id", "name", "date", "file_name", "duration_s", "width", "height", "range_start", "range_end", "timing_state", "total_s"]
+    rows = library.select("athlete", F.struct(*cols).alias("b"), X.truthy(chosen).alias("_chosen"))
+    large = rows.groupBy("athlete").agg(F.count("*").alias("_n")).where(F.col("_n") > part_rows).select(F.col("athlete").alias("_a"), F.ceil(F.col("_n") / part_rows).cast("int").alias("_parts"))
+    rows = rows.join(large, F.col("athlete").eqNullSafe(F.col("_a")), "left").withColumn("_parts", F.coalesce("_parts", F.lit(1))).drop("_a")
+    offered = rows.select("athlete", "b", F.pmod(F.xxhash64("b.attempt_id"), "_parts").cast("int").alias("_part"))
+    asked = rows.where("_chosen").select(F.col("athlete").alias("_a"), F.col("b").alias("c"), F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("_p"))
+    df = offered.join(asked, F.col("athlete").eqNullSafe(F.col("_a")) & (F.col("_part") == F.col("_p"))).withColumn("_id", identity())
     reason = X.when_chain([
         (F.col("b.attempt_id") == F.col("c.attempt_id"), "current-attempt"), (F.col("_id") == "same-attempt", "same-attempt"),
         (mixed_practice(F.col("b.lineage_id"), F.col("c.lineage_id"), practice_prefix), "practice-baseline"),
-        (F.coalesce(F.col("timing_state"), F.lit("missing-start")) != "accepted", "timing-needs-review")])
+        (F.coalesce(F.col("b.timing_state"), F.lit("missing-start")) != "accepted", "timing-needs-review")])
     return df.withColumn("reason", reason).select(
-        F.col("c.attempt_id").alias("candidate_id"), F.col("b.attempt_id").alias("baseline_id"), F.col("total_s").alias("baseline_total_s"),
-        F.col("reason").isNull().alias("eligible"), "reason",
-        (F.col("reason").isNull() & (F.col("_id") == "possible-overlap")).alias("needs_confirmation"))
+        F.col("c.attempt_id").alias("candidate_id"), F.col("b.attempt_id").alias("baseline_id"), F.col("b.name").alias("baseline_name"), F.col("b.date").alias("baseline_date"),
+        F.col("b.total_s").alias("baseline_total_s"), F.col("reason").isNull().alias("eligible"), "reason", (F.col("reason").isNull() & (F.col("_id") == "possible-overlap")).alias("needs_confirmation"))
 
 
 def first_of_lineage(attempts: DataFrame) -> DataFrame:

@@ -77,15 +77,17 @@ METRICS = f"""metrics AS (
  UNION ALL SELECT attempt_id, 'top-phase', {r3('t_f-t_x')}, {conf('cf_s','cf_x','cf_f')}, 'Reviewed Hold 10', {floor_sql('x','f')} FROM wide WHERE mode_x='frame-review' AND t_x > t_s AND t_x < t_f)"""
 
 LIN = "(CASE WHEN length({0}.lineage_id) <= 256 AND length(trim({0}.lineage_id)) > 0 THEN {0}.lineage_id END)"
-PAIRS = f"""ranged AS (SELECT a.*, CASE WHEN t_f > t_s THEN t_s END AS range_start, CASE WHEN t_f > t_s THEN t_f END AS range_end
-  FROM attempts a LEFT JOIN wide w ON a.attempt_id = w.attempt_id),
-ord AS (SELECT *, lag(attempt_id) OVER (PARTITION BY athlete ORDER BY date, attempt_id) AS prev_id FROM ranged),
-pairs AS (SELECT c.athlete, c.date, b.attempt_id AS baseline_id, c.attempt_id AS candidate_id, b.lineage_id AS bl, c.lineage_id AS cl, b.name AS b_name, c.name AS c_name,
-  CASE WHEN coalesce({LIN.format('b')}, CAST(b.attempt_id AS VARCHAR)) = coalesce({LIN.format('c')}, CAST(c.attempt_id AS VARCHAR)) THEN 'same-attempt'
+RANGED = """ranged AS (SELECT a.*, CASE WHEN t_f > t_s THEN t_s END AS range_start, CASE WHEN t_f > t_s THEN t_f END AS range_end
+  FROM attempts a LEFT JOIN wide w ON a.attempt_id = w.attempt_id)"""
+IDENTITY = f"""CASE WHEN coalesce({LIN.format('b')}, CAST(b.attempt_id AS VARCHAR)) = coalesce({LIN.format('c')}, CAST(c.attempt_id AS VARCHAR)) THEN 'same-attempt'
        WHEN b.file_name = c.file_name AND b.duration_s = c.duration_s AND b.width = c.width AND b.height = c.height
         AND greatest(b.range_start, c.range_start) < least(b.range_end, c.range_end) AND b.range_start IS NOT NULL AND c.range_start IS NOT NULL THEN 'possible-overlap'
-       ELSE 'distinct-or-unknown' END AS identity,
-  (coalesce(b.lineage_id,'') IN ('practice-v1-a','practice-v1-b')) <> (coalesce(c.lineage_id,'') IN ('practice-v1-a','practice-v1-b')) AS mixed
+       ELSE 'distinct-or-unknown' END"""
+MIXED = "(coalesce(b.lineage_id,'') IN ('practice-v1-a','practice-v1-b')) <> (coalesce(c.lineage_id,'') IN ('practice-v1-a','practice-v1-b'))"
+PAIRS = f"""{RANGED},
+ord AS (SELECT *, lag(attempt_id) OVER (PARTITION BY athlete ORDER BY date, attempt_id) AS prev_id FROM ranged),
+pairs AS (SELECT c.athlete, c.date, b.attempt_id AS baseline_id, c.attempt_id AS candidate_id, b.lineage_id AS bl, c.lineage_id AS cl, b.name AS b_name, c.name AS c_name,
+  {IDENTITY} AS identity, {MIXED} AS mixed
   FROM ord c JOIN ranged b ON c.prev_id = b.attempt_id)"""
 MIDS = """mids AS (SELECT unnest([1,2,3,4,5,6,7]) AS metric_ord, unnest(['total','reaction','bottom-phase','top-phase','lower-third','middle-third','top-third']) AS metric_id)"""
 COMPARE = f"""{MIDS}, joined AS (SELECT p.*, m.metric_ord, m.metric_id, x.value_s AS baseline_s, y.value_s AS candidate_s,
@@ -290,12 +292,14 @@ def ag7(spark, sf):
     return C.pair_summary(compared(spark, sf))
 
 
-@query("jn3", f"""WITH {WIDE}, {FACTS}, {PAIRS}, q AS (SELECT p.*, f.timing_state, f.total_s AS baseline_total_s, CASE WHEN identity='same-attempt' THEN 'same-attempt' WHEN mixed THEN 'practice-baseline'
-  WHEN coalesce(f.timing_state,'missing-start') <> 'accepted' THEN 'timing-needs-review' END AS reason FROM pairs p LEFT JOIN facts f ON p.baseline_id = f.attempt_id)
- SELECT candidate_id, baseline_id, baseline_total_s, reason IS NULL AS eligible, reason, reason IS NULL AND identity='possible-overlap' AS needs_confirmation FROM q""")
+@query("jn3", f"""WITH {WIDE}, {FACTS}, {RANGED}, q AS (SELECT c.attempt_id AS candidate_id, b.attempt_id AS baseline_id, b.name AS baseline_name, b.date AS baseline_date, f.total_s AS baseline_total_s, f.timing_state, {IDENTITY} AS identity, {MIXED} AS mixed
+  FROM ranged c JOIN ranged b ON c.athlete IS NOT DISTINCT FROM b.athlete LEFT JOIN facts f ON b.attempt_id = f.attempt_id WHERE c.attempt_id % 20 = 0),
+ r AS (SELECT *, CASE WHEN candidate_id = baseline_id THEN 'current-attempt' WHEN identity='same-attempt' THEN 'same-attempt' WHEN mixed THEN 'practice-baseline' WHEN coalesce(timing_state,'missing-start') <> 'accepted' THEN 'timing-needs-review' END AS reason FROM q)
+ SELECT candidate_id, baseline_id, baseline_name, baseline_date, baseline_total_s, reason IS NULL AS eligible, reason, reason IS NULL AND identity='possible-overlap' AS needs_confirmation FROM r""")
 def jn3(spark, sf):
+    """Baselines for every attempt whose id is divisible by 20, out of the whole library of its athlete."""
     w = wide(spark, sf)
-    return C.baseline_options(C.consecutive_pairs(C.accepted_ranges(R.attempts(spark, sf), w)), K.timing_facts(w), PRACTICE)
+    return C.baseline_choices(C.library_attempts(R.attempts(spark, sf), w, K.timing_facts(w)), F.col("attempt_id") % 20 == 0, PRACTICE)
 
 
 @query("jn4", f"WITH {WIDE}, {PAIRS} SELECT baseline_id, candidate_id, mixed FROM pairs")
