@@ -12,8 +12,10 @@ from ..operators import library as L
 from ..operators import markers as M
 from ..sources import exports as E
 from ..sources import library_json as J
+from ..sources import nested_library as N
 from . import roles as R
 from . import timing as T
+from .live import workdir
 from .registry import query
 
 CUR = f"""cur AS (SELECT *, CASE WHEN attempt_id % 31 = 0 THEN 'unknown' ELSE updated_at END AS upd FROM attempts WHERE attempt_id % 3 <> 0),
@@ -165,6 +167,31 @@ def snk1(spark, sf):
                       F.when(n_set > 0, F.round(climb, 6)).alias("climb"))
 
 
+@query("src1_rejects", f"""WITH {SESSION_TEXT} SELECT s.k AS attempt_id, CASE WHEN s.k % 2 = 1 THEN 'not-a-library' WHEN g.k IS NULL THEN 'malformed-session' END AS reason FROM session_text s LEFT JOIN good g ON g.k = s.k""")
+def src1_rejects(spark, sf):
+    """Every stored session, and why it can't be used."""
+    marker = F.when(F.col("k") % 2 == 0, "attempt-library").otherwise("something-else")
+    doc = F.concat(F.lit('{"format":"'), marker, F.lit('","version":1,"exportedAt":"x","sessions":['), F.col("j"), F.lit("]}"))
+    docs = session_text(spark, sf).select(F.col("k").alias("file"), F.try_parse_json(doc).alias("doc"))
+    return N.document_sessions(docs, "attempt-library").select(F.col("file").alias("attempt_id"), "reason")
+
+
+@query("snk1_readback", f"WITH {T.WIDE}, {T.METRICS}, {T.PAIRS}, {T.COMPARE} SELECT * FROM compared")
+def snk1_readback(spark, sf):
+    """Attempts and markers written as library documents, read back, and compared like those of the tables."""
+    attempts = R.attempts(spark, sf)
+    none = lambda columns: spark.createDataFrame([], columns)
+    rgb = "struct<r:double,g:double,b:double>"
+    settings = "attempt_id long, " + ", ".join(f"{c} {'string' if c in N.CHOICES else 'double'}" for c in N.SETTINGS.values())
+    held = N.Library(attempts, M.repair(R.raw_markers(spark, sf), attempts), none("attempt_id long, zone_id string, label string, x1 double, y1 double, x2 double, y2 double"), none(settings),
+                     none(f"attempt_id long, before_rgb {rgb}, after_rgb {rgb}, before_time double, after_time double, colour_delta double"), none("file string, position long, reason string"))
+    path = f"{workdir(spark)}/library"
+    N.write_libraries(N.session_records(held), path, "attempt-library", "now")
+    back = N.library_tables(N.read_written(spark, path, "attempt-library"))
+    a = back.attempts.withColumns({"attempt_id": F.col("attempt_id").cast("long"), "athlete": F.col("athlete").cast("long")})
+    return T.C.compare_pairs(T.C.consecutive_pairs(T.C.timed_attempts(a, M.repair_wide(back.markers.withColumn("attempt_id", F.col("attempt_id").cast("long")), a))), T.PRACTICE)
+
+
 @query("snk2", f"""WITH {T.BASE}, {T.REPAIRED}, n AS (SELECT attempt_id, count(raw_time) AS n_set, count(*) FILTER (abs(raw_time-detected_raw_time) > 0.001) AS adjusted, max(climb_time) FILTER (marker_id='finishPad') AS total FROM repaired GROUP BY 1)
  SELECT a.attempt_id, a.name, a.file_name, n_set, adjusted, total FROM attempts a LEFT JOIN n ON a.attempt_id = n.attempt_id""")
 def snk2(spark, sf):
