@@ -69,9 +69,11 @@ def frame_motion(pairs: DataFrame) -> DataFrame:
 
 def sensitive_motion(pairs: DataFrame, floor: float = 0.5) -> DataFrame:
     """AG34: change above a noise floor, plus the share of changed cells."""
-    d = F.abs(X.grey("r", "g", "b") - X.grey("pr", "pg", "pb"))
-    on = d > floor
-    return pairs.groupBy(*FRAME).agg(X.round_ms(F.coalesce(F.sum(F.when(on, d - floor)), F.lit(0.0)) / F.count("*") * 1.15 + F.count_if(on) / F.count("*") * 3).alias("motion_score"))
+    # whole thousandths of a grey level, so that sums don't depend on the order of cells
+    d = F.abs(sum(w * (F.col(c) - F.col("p" + c)) for w, c in zip((299, 587, 114), CHANNELS, strict=True))).cast("bigint")
+    level = int(round(floor * 1000))
+    on = d > level
+    return pairs.groupBy(*FRAME).agg(X.round_ms(F.coalesce(F.sum(F.when(on, d - level)), F.lit(0)) / 1000 / F.count("*") * 1.15 + F.count_if(on) / F.count("*") * 3).alias("motion_score"))
 
 
 def scene_change(pairs: DataFrame, level: float = 30.0, cut: float = 0.28) -> DataFrame:

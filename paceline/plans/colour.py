@@ -65,7 +65,7 @@ def ag33(spark, sf):
     return C.frame_motion(pairs(spark, sf)).withColumn("motion", X.round_us("motion"))
 
 
-@query("ag34", f"WITH {PAIRS}, d AS (SELECT *, abs((r*0.299::DOUBLE+g*0.587::DOUBLE+b*0.114::DOUBLE)-(pr*0.299::DOUBLE+pg*0.587::DOUBLE+pb*0.114::DOUBLE)) AS d FROM pr) SELECT recording_id, frame, floor((coalesce(sum(d-0.5) FILTER (d>0.5),0)/count(*)*1.15::DOUBLE+count(*) FILTER (d>0.5)/count(*)*3)*1000+0.5)/1000 AS motion_score FROM d GROUP BY 1,2")
+@query("ag34", f"WITH {PAIRS}, d AS (SELECT *, abs(299*(r-pr)+587*(g-pg)+114*(b-pb)) AS d FROM pr) SELECT recording_id, frame, floor((coalesce(sum(d-500) FILTER (d>500),0)/1000/count(*)*1.15::DOUBLE+count(*) FILTER (d>500)/count(*)*3)*1000+0.5)/1000 AS motion_score FROM d GROUP BY 1,2")
 def ag34(spark, sf):
     return C.sensitive_motion(pairs(spark, sf))
 

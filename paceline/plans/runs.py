@@ -197,20 +197,20 @@ def jn11(spark, sf):
     h = F.sha2(F.col("c_custkey").cast("string"), 256)
     refs = c.select(F.col("c_custkey").alias("reference_id"), h.alias("source_sha256"), (F.col("c_acctbal") / 1000.0).alias("expected_total_s"), F.lit(0.5).alias("expected_x"), F.lit(0.5).alias("expected_y"), F.lit(0.3).alias("radius"))
     n = F.col("c_nationkey")
-    outs = c.where("c_custkey % 4 <> 0").select(h.alias("sha256"), (n / 10.0).alias("start_s"), (n / 10.0 + 6.25).alias("finish_s"), (n / 25.0).alias("hold_x"), ((F.col("c_custkey") % 10) / 10.0).alias("hold_y"))
+    outs = c.select(F.when(F.col("c_custkey") % 4 != 0, h).otherwise(F.sha2(F.concat(F.lit("other "), F.col("c_custkey").cast("string")), 256)).alias("sha256"), (n / 10.0).alias("start_s"), (n / 10.0 + 6.25).alias("finish_s"), (n / 25.0).alias("hold_x"), ((F.col("c_custkey") % 10) / 10.0).alias("hold_y"))
     return N.user_reference(refs, outs)
 
 
 @query("jn12", """WITH d AS (SELECT o_orderkey AS run_id, e AS event, CASE (o_orderkey+i)%3 WHEN 0 THEN 'automatic' WHEN 1 THEN 'review' ELSE 'missing' END AS status, CASE WHEN (o_orderkey+i)%3=0 THEN CAST(o_custkey%50 AS DOUBLE) END AS raw_time FROM orders, (SELECT unnest([0,1]) AS i, unnest(['start','finish']) AS e)),
- s AS (SELECT l_orderkey AS run_id, CASE WHEN l_linenumber=1 THEN 'start' ELSE 'finish' END AS event, count(*) AS n, max(CASE WHEN l_quantity>25 THEN l_quantity END) AS t, max(CASE WHEN l_quantity>25 THEN CASE WHEN l_linestatus='F' THEN 'automatic' ELSE 'frame-review' END END) AS mode FROM lineitem WHERE l_linenumber IN (1,6) GROUP BY 1,2),
+ s AS (SELECT l_orderkey AS run_id, CASE l_linenumber WHEN 1 THEN 'start' WHEN 6 THEN 'finish' ELSE 'marker-' || l_linenumber END AS event, count(*) AS n, max(CASE WHEN l_quantity>25 THEN l_quantity END) AS t, max(CASE WHEN l_quantity>25 THEN CASE WHEN l_linestatus='F' THEN 'automatic' ELSE 'frame-review' END END) AS mode FROM lineitem GROUP BY 1,2),
  v AS (SELECT d.run_id, d.event, CASE WHEN coalesce(n,0)<>1 THEN 'marker-count' WHEN t IS NOT NULL AND mode<>'automatic' THEN 'not-automatic' WHEN t IS NOT NULL AND status<>'automatic' THEN 'acceptance-removed' WHEN t IS NOT NULL AND raw_time<>t THEN 'time-differs' WHEN t IS NULL AND status='automatic' THEN 'promoted' END AS rule FROM d LEFT JOIN s ON d.run_id=s.run_id AND d.event=s.event)
  SELECT * FROM v WHERE rule IS NOT NULL""")
 def jn12(spark, sf):
-    o, li = R.table(spark, sf, "orders"), R.table(spark, sf, "lineitem").where("l_linenumber in (1, 6)")
+    o, li = R.table(spark, sf, "orders"), R.table(spark, sf, "lineitem")
     d = o.select(F.col("o_orderkey").alias("run_id"), F.col("o_custkey"), F.explode(F.array(F.struct(F.lit("start").alias("event"), F.lit(0).alias("i")), F.struct(F.lit("finish").alias("event"), F.lit(1).alias("i")))).alias("e"))
     st = F.element_at(F.array(F.lit("automatic"), F.lit("review"), F.lit("missing")), ((F.col("run_id") + F.col("e.i")) % 3 + 1).cast("int"))
     declared = d.select("run_id", "e.event", st.alias("status"), F.when(st == "automatic", (F.col("o_custkey") % 50).cast("double")).alias("raw_time"))
-    snap = li.select(F.col("l_orderkey").alias("run_id"), F.when(F.col("l_linenumber") == 1, "start").otherwise("finish").alias("event"), F.when(F.col("l_quantity") > 25, F.col("l_quantity")).alias("accepted_raw_time"),
+    snap = li.select(F.col("l_orderkey").alias("run_id"), F.when(F.col("l_linenumber") == 1, "start").when(F.col("l_linenumber") == 6, "finish").otherwise(F.concat(F.lit("marker-"), F.col("l_linenumber").cast("string"))).alias("event"), F.when(F.col("l_quantity") > 25, F.col("l_quantity")).alias("accepted_raw_time"),
                      F.when(F.col("l_linestatus") == "F", "automatic").otherwise("frame-review").alias("acceptance_mode"))
     return N.snapshot_violations(declared, snap)
 
@@ -230,7 +230,7 @@ def ag27(spark, sf):
 # --- public evidence --------------------------------------------------------------------------
 
 def reviews(spark, sf):
-    d = R.table(spark, sf, "documents").where("doc_id % 6 <> 5")
+    d = R.table(spark, sf, "documents")
     k = F.col("doc_id")
     v = F.array(*[F.struct(F.lit(e).alias("event"), F.lit(i).alias("i"), F.lit(r).alias("r")) for i, e in enumerate(("start", "finish")) for r in (0, 1)])
     df = d.select("*", F.explode(v).alias("v"))
@@ -243,7 +243,7 @@ def reviews(spark, sf):
 
 REV = """rev AS (SELECT doc_id AS clip_id, e AS event, i, CASE WHEN doc_id%14=0 THEN 'disputed' WHEN doc_id%22=0 THEN 'unobservable' ELSE 'observable' END AS reference_status, CASE WHEN doc_id%33=0 THEN 'agent-0' ELSE 'agent-'||r END AS reviewer_id,
  CASE WHEN doc_id%26=0 AND r=1 THEN 'disputed' ELSE 'observable' END AS status, CAST(n_chars%400 AS DOUBLE)/100.0 + i*6.0 + r*CAST(CASE WHEN doc_id%15=0 THEN 0.5 ELSE 0.05 END AS DOUBLE) AS bracket_lo,
- CASE WHEN doc_id%21=0 AND r=1 THEN 'pad' ELSE 'light' END AS event_definition, CASE WHEN doc_id%25=0 AND r=1 THEN 'R' ELSE 'L' END AS lane_id FROM documents, (SELECT unnest([0,1]) AS i, unnest(['start','finish']) AS e), (SELECT unnest([0,1]) AS r) WHERE doc_id%6<>5),
+ CASE WHEN doc_id%21=0 AND r=1 THEN 'pad' ELSE 'light' END AS event_definition, CASE WHEN doc_id%25=0 AND r=1 THEN 'R' ELSE 'L' END AS lane_id FROM documents, (SELECT unnest([0,1]) AS i, unnest(['start','finish']) AS e), (SELECT unnest([0,1]) AS r)),
 pr0 AS (SELECT clip_id, event, count(*) AS n, count(DISTINCT reviewer_id) AS np, count(*) FILTER (status='observable') AS seen, count(DISTINCT event_definition) AS nd, count(DISTINCT lane_id) AS nl, min(event_definition) AS ed, min(lane_id) AS ln, min(bracket_lo) AS lo, max(bracket_lo) AS lo2,
  max(bracket_lo+CAST(0.2 AS DOUBLE)) AS hi, min(bracket_lo+CAST(0.2 AS DOUBLE)) AS hi1, max(reference_status) AS rs FROM rev GROUP BY 1,2),
 pr1 AS (SELECT *, CASE WHEN n<>2 OR np<>2 THEN 'observers' WHEN rs<>'observable' THEN NULL WHEN seen<2 THEN 'unqualified-original' WHEN nd>1 OR nl>1 THEN 'event-or-lane' WHEN lo2>hi1 THEN 'disjoint' END AS violation FROM pr0),

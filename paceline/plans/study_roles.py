@@ -29,21 +29,21 @@ CLIPS = """clips AS (SELECT doc_id AS clip_id, CASE WHEN doc_id % 10 = 9 THEN CA
 
 
 def predictions(spark, sf):
-    d = table(spark, sf, "documents").where("doc_id % 7 <> 0")
+    d = table(spark, sf, "documents")
     k = F.col("doc_id")
     ev = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(e).alias("event")) for i, e in enumerate(("start", "hold10", "finish"))])
     df = d.select("*", F.explode(ev).alias("v"))
     i = F.col("v.i")
     st = F.element_at(F.array(*[F.lit(x) for x in ("accepted", "accepted", "review", "accepted", "missing", "failed")]), ((k + i) % 6 + 1).cast("int"))
-    return df.select(F.concat(F.lit("run-"), k.cast("string")).alias("run_id"), k.alias("clip_id"), F.when(k % 41 == 0, F.lit("bad")).otherwise(F.sha2("text", 256)).alias("source_sha256"),
+    return df.select(F.concat(F.when(k % 7 == 0, "earlier-").otherwise("run-"), k.cast("string")).alias("run_id"), k.alias("clip_id"), F.when(k % 41 == 0, F.lit("bad")).otherwise(F.sha2("text", 256)).alias("source_sha256"),
                      F.when(k % 43 == 0, "0000000").otherwise(COMMIT).alias("app_commit"), F.when(k % 47 == 0, "2024-01-01").otherwise("2024-02-01").alias("started_at"), F.col("v.event").alias("event"),
                      st.alias("status"), F.when(st == "accepted", (F.col("n_chars") % 400) / 100.0 + i * 6.0 + (k % 13) / 100.0).alias("raw_time"), F.when(k % 4 == 0, "audio").otherwise("light").alias("evidence_source"))
 
 
-PREDICTIONS = """preds AS (SELECT 'run-' || doc_id AS run_id, doc_id AS clip_id, CASE WHEN doc_id % 41 = 0 THEN 'bad' ELSE sha256(text) END AS source_sha256, CASE WHEN doc_id % 43 = 0 THEN '0000000' ELSE 'abcdef1' END AS app_commit,
+PREDICTIONS = """preds AS (SELECT CASE WHEN doc_id % 7 = 0 THEN 'earlier-' ELSE 'run-' END || doc_id AS run_id, doc_id AS clip_id, CASE WHEN doc_id % 41 = 0 THEN 'bad' ELSE sha256(text) END AS source_sha256, CASE WHEN doc_id % 43 = 0 THEN '0000000' ELSE 'abcdef1' END AS app_commit,
  CASE WHEN doc_id % 47 = 0 THEN '2024-01-01' ELSE '2024-02-01' END AS started_at, event, ['accepted','accepted','review','accepted','missing','failed'][1 + CAST((doc_id + i) % 6 AS INT)] AS status,
  CASE WHEN ['accepted','accepted','review','accepted','missing','failed'][1 + CAST((doc_id + i) % 6 AS INT)] = 'accepted' THEN CAST(n_chars % 400 AS DOUBLE) / 100.0 + i * 6.0 + CAST(doc_id % 13 AS DOUBLE) / 100.0 END AS raw_time,
- CASE WHEN doc_id % 4 = 0 THEN 'audio' ELSE 'light' END AS evidence_source FROM documents, (SELECT unnest([0,1,2]) AS i, unnest(['start','hold10','finish']) AS event) WHERE doc_id % 7 <> 0)"""
+ CASE WHEN doc_id % 4 = 0 THEN 'audio' ELSE 'light' END AS evidence_source FROM documents, (SELECT unnest([0,1,2]) AS i, unnest(['start','hold10','finish']) AS event))"""
 
 
 def labels(spark, sf):
