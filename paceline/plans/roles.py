@@ -6,7 +6,7 @@ same mapping as a SQL common table expression, used by the comparison queries.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import MARKER_IDS
@@ -47,15 +47,20 @@ ATTEMPTS = """attempts AS (SELECT o_orderkey AS attempt_id, o_custkey AS athlete
 
 
 def raw_markers(spark, sf) -> DataFrame:
-    """At most six marker rows per attempt, as read: nothing is repaired yet."""
-    li = table(spark, sf, "lineitem").where("l_linenumber <= 6")
-    one = li.groupBy("l_orderkey", "l_linenumber").agg(F.min(F.struct(
-        "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_discount", "l_tax", "l_returnflag", "l_linestatus")).alias("m"))
+    """Markers as read, one per order line: nothing is repaired yet.
+
+    Lines 1 to 6 are the six markers. Repeats of a line and line 7 are further takes, ids that no attempt knows, which
+    repair leaves out; they have no place in the order of markers.
+    """
+    li = table(spark, sf, "lineitem")
+    first = Window.partitionBy("l_orderkey", "l_linenumber").orderBy("l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_discount", "l_tax", "l_returnflag", "l_linestatus")
+    one = li.withColumn("rn", F.row_number().over(first)).withColumn("known", (F.col("rn") == 1) & (F.col("l_linenumber") <= 6)).select("l_orderkey", "l_linenumber", "rn", "known", F.struct(
+        "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_discount", "l_tax", "l_returnflag", "l_linestatus").alias("m"))
     ids = F.array(*[F.lit(x) for x in MARKER_IDS])
     ln, q, s = F.col("l_linenumber"), F.col("m.l_quantity"), F.col("m.l_suppkey")
     return one.select(
-        F.col("l_orderkey").alias("attempt_id"), F.element_at(ids, ln.cast("int")).alias("marker_id"),
-        ln.cast("int").alias("marker_ord"), (2.0 * (ln - 1) + q / 4.0).alias("raw_time"),
+        F.col("l_orderkey").alias("attempt_id"), F.when(F.col("known"), F.get(ids, ln.cast("int") - 1)).otherwise(F.concat(F.lit("take-"), ln.cast("string"), F.lit("-"), F.col("rn").cast("string"))).alias("marker_id"),
+        F.when(F.col("known"), ln.cast("int")).alias("marker_ord"), (2.0 * (ln - 1) + q / 4.0).alias("raw_time"),
         F.when(s % 3 == 0, 2.0 * (ln - 1) + q / 4.0 + F.col("m.l_tax")).alias("detected_raw_time"),
         F.col("m.l_tax").alias("offset_applied"),
         F.when(s % 10 == 0, "Body motion detection").when(s % 10 == 1, "Hold contact detection")
@@ -70,12 +75,12 @@ def raw_markers(spark, sf) -> DataFrame:
 
 
 RAW_MARKERS = """raw_markers AS (SELECT l_orderkey AS attempt_id,
- ['startSignal','firstMovement','committedLaunch','firstHold','hold10','finishPad'][l_linenumber] AS marker_id,
- CAST(l_linenumber AS INTEGER) AS marker_ord, 2.0*(l_linenumber-1)+l_quantity/4.0 AS raw_time,
+ CASE WHEN rn = 1 AND l_linenumber <= 6 THEN ['startSignal','firstMovement','committedLaunch','firstHold','hold10','finishPad'][l_linenumber] ELSE 'take-' || l_linenumber || '-' || rn END AS marker_id,
+ CASE WHEN rn = 1 AND l_linenumber <= 6 THEN CAST(l_linenumber AS INTEGER) END AS marker_ord, 2.0*(l_linenumber-1)+l_quantity/4.0 AS raw_time,
  CASE WHEN l_suppkey % 3 = 0 THEN 2.0*(l_linenumber-1)+l_quantity/4.0+l_tax END AS detected_raw_time, l_tax AS offset_applied,
  CASE l_suppkey % 10 WHEN 0 THEN 'Body motion detection' WHEN 1 THEN 'Hold contact detection' WHEN 2 THEN 'Somewhere' ELSE 'Manual' END AS source,
  CASE WHEN l_tax >= 0.08 THEN 'Certain' WHEN l_returnflag='A' THEN 'High' WHEN l_returnflag='N' THEN 'Medium' ELSE 'Low' END AS confidence,
  CASE WHEN l_tax = 0 THEN 'guess' WHEN l_linestatus='F' THEN 'frame-review' ELSE 'automatic' END AS acceptance_mode,
  l_discount AS observation_interval_s, 'part ' || l_partkey AS note
  FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey, l_extendedprice, l_quantity,
-   l_discount, l_tax, l_returnflag, l_linestatus) AS rn FROM lineitem WHERE l_linenumber <= 6) WHERE rn = 1)"""
+   l_discount, l_tax, l_returnflag, l_linestatus) AS rn FROM lineitem))"""
