@@ -17,15 +17,15 @@ W, H = 40, 24
 
 
 def cells(spark, sf):
-    """Order lines as pixels of small frames, one per position (merged by a partial aggregation)."""
+    """Order lines as light on the pixels of small frames; lines of one pixel are averaged by a partial aggregation."""
     li = table(spark, sf, "lineitem")
     pos = [F.col("l_suppkey").alias("recording_id"), F.col("l_linenumber").cast("int").alias("frame"), (F.col("l_partkey") % W).cast("int").alias("x"), (F.col("l_orderkey") % H).cast("int").alias("y")]
-    rgb = F.max(F.struct((F.col("l_quantity") * 5).cast("int").alias("r"), F.floor(F.col("l_tax") * 3000 + 0.5).cast("int").alias("g"), F.floor(F.col("l_discount") * 2500 + 0.5).cast("int").alias("b")))
-    return li.groupBy(*pos).agg(rgb.alias("c")).select("recording_id", "frame", "x", "y", "c.*")
+    light = {"r": (F.col("l_quantity") * 5).cast("int"), "g": F.floor(F.col("l_tax") * 3000 + 0.5), "b": F.floor(F.col("l_discount") * 2500 + 0.5)}
+    return li.groupBy(*pos).agg(*[F.floor(F.avg(v) + 0.5).cast("int").alias(k) for k, v in light.items()])
 
 
-CELLS = f"""cells AS (SELECT recording_id, frame, x, y, r, g, b FROM (SELECT *, row_number() OVER (PARTITION BY recording_id, frame, x, y ORDER BY r DESC, g DESC, b DESC) AS rn FROM (SELECT l_suppkey AS recording_id, CAST(l_linenumber AS INTEGER) AS frame, CAST(l_partkey%{W} AS INTEGER) AS x, CAST(l_orderkey%{H} AS INTEGER) AS y,
- CAST(l_quantity*5 AS INTEGER) AS r, CAST(floor(l_tax*3000+0.5) AS INTEGER) AS g, CAST(floor(l_discount*2500+0.5) AS INTEGER) AS b FROM lineitem)) WHERE rn=1)"""
+CELLS = f"""cells AS (SELECT l_suppkey AS recording_id, CAST(l_linenumber AS INTEGER) AS frame, CAST(l_partkey%{W} AS INTEGER) AS x, CAST(l_orderkey%{H} AS INTEGER) AS y,
+ CAST(floor(avg(CAST(l_quantity*5 AS INTEGER))+0.5) AS INTEGER) AS r, CAST(floor(avg(floor(l_tax*3000+0.5))+0.5) AS INTEGER) AS g, CAST(floor(avg(floor(l_discount*2500+0.5))+0.5) AS INTEGER) AS b FROM lineitem GROUP BY 1,2,3,4)"""
 PAIRS = f"{CELLS}, pr AS (SELECT c.*, p.r AS pr, p.g AS pg, p.b AS pb FROM cells c JOIN cells p ON p.recording_id=c.recording_id AND p.frame=c.frame-1 AND p.x=c.x AND p.y=c.y)"
 
 

@@ -299,10 +299,10 @@ def wn23(spark, sf):
     return C.height_passage(heights(spark, sf), 8.0)
 
 
-@query("jn20", f"WITH {V.SAMPLES}, t AS (SELECT attempt_id, avg(raw_time) AS target_s FROM smp GROUP BY 1), g AS (SELECT t.attempt_id, {r6('target_s')} AS target_s, max(raw_time) FILTER (raw_time<={r6('target_s')}) AS b, min(raw_time) FILTER (raw_time>={r6('target_s')}) AS a FROM t JOIN smp USING (attempt_id) GROUP BY 1,2) SELECT attempt_id, target_s, CASE WHEN a-b<=0.15 THEN b END AS bracket_start_s, CASE WHEN a-b<=0.15 THEN a END AS bracket_end_s FROM g")
+@query("jn20", f"WITH {V.SAMPLES}, t AS (SELECT attempt_id, avg(ms)/1000 AS target_s FROM smp GROUP BY 1), g AS (SELECT t.attempt_id, {r6('target_s')} AS target_s, max(raw_time) FILTER (raw_time<={r6('target_s')}) AS b, min(raw_time) FILTER (raw_time>={r6('target_s')}) AS a FROM t JOIN smp USING (attempt_id) GROUP BY 1,2) SELECT attempt_id, target_s, CASE WHEN a-b<=0.15 THEN b END AS bracket_start_s, CASE WHEN a-b<=0.15 THEN a END AS bracket_end_s FROM g")
 def jn20(spark, sf):
     s = V.samples(spark, sf)
-    return C.frames_around(s, s.groupBy("attempt_id").agg(X.round_us(F.avg("raw_time")).alias("target_s")))
+    return C.frames_around(s, s.groupBy("attempt_id").agg(X.round_us(F.avg("ms") / 1000).alias("target_s")))
 
 
 PLAN = f"""co AS (SELECT attempt_id, 3.0::DOUBLE+(attempt_id%70)/10.0::DOUBLE AS coarse_s FROM smp GROUP BY 1), pl0 AS (SELECT c.attempt_id, coarse_s, max(raw_time) AS seed_s FROM co c JOIN smp s ON s.attempt_id=c.attempt_id WHERE coarse_s>0.5 AND coarse_s<9.6 AND raw_time>=0.5 AND raw_time<=greatest(0.5::DOUBLE,coarse_s-0.7::DOUBLE) AND greatest(0.5::DOUBLE,coarse_s-0.7::DOUBLE)-raw_time<=0.3 GROUP BY 1,2),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import dims as D
@@ -25,13 +26,14 @@ def ms_sql(m):
 
 
 def runs(spark, sf, parity):
-    """One report per parity of the order key; a run per (customer, month)."""
+    """One report per parity of the order key; a run per order, numbered within its customer and month."""
     o = R.table(spark, sf, "orders").where(F.col("o_orderkey") % 2 == parity)
-    g = o.groupBy("o_custkey", F.month("o_orderdate").alias("mon")).agg(F.min("o_orderkey").alias("k"))
+    n = F.row_number().over(Window.partitionBy("o_custkey", F.month("o_orderdate")).orderBy("o_orderkey"))
+    g = o.select("o_custkey", F.month("o_orderdate").cast("string").alias("m"), F.col("o_orderkey").alias("k"), n.alias("n")).withColumn("mon", F.when(F.col("n") > 1, F.concat_ws("-", "m", F.col("n").cast("string"))).otherwise(F.col("m")))
     k, c = F.col("k"), F.col("o_custkey")
-    base = F.concat(c.cast("string"), F.lit("/"), F.col("mon").cast("string"))
+    base = F.concat(c.cast("string"), F.lit("/"), "mon")
     start = (c % 50) * 100 + F.when(k % 3 == 0, 50).when(k % 13 == 0, 400).otherwise(0)
-    return g.select(F.concat(F.lit("c"), c.cast("string")).alias("source_name"), F.concat(F.lit("m"), F.col("mon").cast("string")).alias("variation_id"),
+    return g.select(F.concat(F.lit("c"), c.cast("string")).alias("source_name"), F.concat(F.lit("m"), "mon").alias("variation_id"),
                     F.when(k % 19 == 0, "nohash").when(k % 17 == 0, F.sha2(k.cast("string"), 256)).otherwise(F.sha2(base, 256)).alias("media_sha256"), F.sha2(c.cast("string"), 256).alias("source_sha256"),
                     F.when(k % 23 == 0, "stopped").alias("error"), (k % 29 != 0).alias("has_outcome"), F.when(k % 7 == 0, "Not set").otherwise(ms_text(start)).alias("start_text"),
                     F.when(k % 5 == 0, "Not set").otherwise(ms_text(start + 6000 + (k % 4) * 40)).alias("finish_text"), (F.lit(50) + k % 10).alias("requested_frames"), (F.lit(30) + k % 30).alias("valid_frames"),
@@ -42,7 +44,7 @@ def runs_cte(name, parity):
     st = "(o_custkey%50)*100 + CASE WHEN k%3=0 THEN 50 WHEN k%13=0 THEN 400 ELSE 0 END"
     return f"""{name} AS (SELECT 'c'||o_custkey AS source_name, 'm'||mon AS variation_id, CASE WHEN k%19=0 THEN 'nohash' WHEN k%17=0 THEN sha256(CAST(k AS VARCHAR)) ELSE sha256(o_custkey||'/'||mon) END AS media_sha256, sha256(CAST(o_custkey AS VARCHAR)) AS source_sha256,
  CASE WHEN k%23=0 THEN 'stopped' END AS error, k%29<>0 AS has_outcome, CASE WHEN k%7<>0 THEN CAST({st} AS DOUBLE)/1000 END AS start_t, CASE WHEN k%5<>0 THEN CAST({st} + 6000 + (k%4)*40 AS DOUBLE)/1000 END AS finish_t, 50+k%10 AS req, 30+k%30 AS val, k%11<>0 AS fullw
- FROM (SELECT o_custkey, month(o_orderdate) AS mon, min(o_orderkey) AS k FROM orders WHERE o_orderkey%2={parity} GROUP BY 1,2))"""
+ FROM (SELECT o_custkey, month(o_orderdate) || CASE WHEN n>1 THEN '-' || n ELSE '' END AS mon, o_orderkey AS k FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey, month(o_orderdate) ORDER BY o_orderkey) AS n FROM orders WHERE o_orderkey%2={parity})))"""
 
 
 def bstat(e):

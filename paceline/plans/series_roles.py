@@ -1,7 +1,7 @@
 """Events seen as sampled series: thirty days of a user's events become a ten-second recording.
 
-Sample times are whole milliseconds and one row per (attempt, millisecond) is kept by a partial
-aggregation, so a series is bounded by the length of its recording, not by the input.
+Sample times are whole milliseconds; the events of one millisecond are averaged by a partial aggregation, so
+every event counts and a series is bounded by the length of its recording, not by the input.
 """
 
 from __future__ import annotations
@@ -21,13 +21,13 @@ def event_ms():
 
 def samples(spark, sf):
     e = table(spark, sf, "events")
-    g = e.groupBy(F.col("user_id").alias("attempt_id"), event_ms().alias("ms")).agg(F.max("value").alias("value"), F.max("event_id").alias("event_id"))
-    v, k = F.floor(F.col("value") * 100 + 0.5).cast("bigint"), F.col("event_id")
-    return g.select("attempt_id", "ms", (F.col("ms") / 1000.0).alias("raw_time"), "event_id", v.alias("v"), F.floor(F.col("value") * 100 + 0.5).cast("double").alias("vd"),
+    g = e.groupBy(F.col("user_id").alias("attempt_id"), event_ms().alias("ms")).agg(F.floor(F.avg(F.floor(F.col("value") * 100 + 0.5)) + 0.5).cast("bigint").alias("v"), F.max("event_id").alias("event_id"))
+    v = F.col("v")
+    return g.select("attempt_id", "ms", (F.col("ms") / 1000.0).alias("raw_time"), "event_id", "v", v.cast("double").alias("vd"),
                     (v / 1000.0).alias("motion_score"), ((F.col("attempt_id") % 30) / 10.0 + 0.5).alias("start_s"), F.lit(10.4).alias("search_end"))
 
 
-SAMPLES = """smp AS (SELECT user_id AS attempt_id, ms, CAST(ms AS DOUBLE)/1000 AS raw_time, max(event_id) AS event_id, CAST(floor(max(value)*100+0.5) AS BIGINT) AS v, CAST(floor(max(value)*100+0.5) AS DOUBLE)/1000 AS motion_score,
+SAMPLES = """smp AS (SELECT user_id AS attempt_id, ms, CAST(ms AS DOUBLE)/1000 AS raw_time, max(event_id) AS event_id, CAST(floor(avg(floor(value*100+0.5))+0.5) AS BIGINT) AS v, CAST(floor(avg(floor(value*100+0.5))+0.5) AS DOUBLE)/1000 AS motion_score,
  CAST(user_id%30 AS DOUBLE)/10 + 0.5 AS start_s, 10.4 AS search_end FROM (SELECT *, CAST(floor((epoch_us(ts)-epoch_us(TIMESTAMP '2024-01-01'))/250000000.0) AS BIGINT) AS ms FROM events) GROUP BY user_id, ms)"""
 
 
