@@ -94,7 +94,7 @@ def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(low[:n], low[width - reach : width - reach + n])
 
 
-def text_batches(batches: Iterable[pd.DataFrame], text: str, fold: bool) -> Iterator[tuple[pd.DataFrame, list[list[bytes]]]]:
+def text_batches(batches: Iterable[pd.DataFrame], text: str, fold: bool, words_at_once: int = WORDS_AT_ONCE) -> Iterator[tuple[pd.DataFrame, list[list[bytes]]]]:
     """Rows with their words, a bounded number of words at a time (one very long text may exceed it)."""
     for frame in batches:
         start, size, words = 0, 0, []
@@ -102,7 +102,7 @@ def text_batches(batches: Iterable[pd.DataFrame], text: str, fold: bool) -> Iter
             own = ascii_words(value, fold)
             words.append(own)
             size += len(own)
-            if size >= WORDS_AT_ONCE:
+            if size >= words_at_once:
                 yield frame.iloc[start : i + 1], words
                 start, size, words = i + 1, 0, []
         if words:

@@ -22,8 +22,8 @@ from paceline.llm.common import WordHashes, cut, hash_words, mixed, row_key, tex
 
 #: Bits of an n-gram's hash; the others of a 63-bit key number the rows of a batch.
 HASH_BITS = 44
-#: N-grams that a task gathers before it hands their counts on, and the commonest n-grams, which set the scale of the models.
-GATHERED, COMMON = 4_000_000, 5_000
+#: Words whose n-grams a task takes at once, n-grams that it gathers before it hands their counts on, and the commonest n-grams, which set the scale of the models.
+WORDS, GATHERED, COMMON = 100_000, 500_000, 5_000
 #: Of cuts whose kept shares differ by no more than this from the best, the one that keeps most is taken.
 NEARLY_BEST = 0.005
 #: Values of a step of the search for the k-th largest key, and keys that are sorted at its end.
@@ -127,14 +127,15 @@ def sample_usable_notes(
     def count_labelled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = WordHashes()
         keys, flags, size = [], [], 0
-        for frame, words in text_batches(batches, "text", False):
+        for frame, words in text_batches(batches, "text", False, WORDS):
             row, key = features(words, known)
             keys.append(key)
             flags.append((frame["usable"] == 1).to_numpy()[row])
             size += len(key)
             if size >= GATHERED:
-                yield counted(keys, flags)
+                out = counted(keys, flags)
                 keys, flags, size = [], [], 0
+                yield out
         if size:
             yield counted(keys, flags)
 
@@ -153,7 +154,7 @@ def sample_usable_notes(
         def count_all(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             known, keys = WordHashes(), wanted.value
             raw = np.zeros(len(keys), np.int64)
-            for _, words in text_batches(batches, "text", False):
+            for _, words in text_batches(batches, "text", False, WORDS):
                 at, found = places(keys, features(words, known)[1])
                 raw += np.bincount(at[found], minlength=len(keys))
             yield pd.DataFrame({"key": keys, "raw": raw})[raw > 0]
@@ -167,7 +168,7 @@ def sample_usable_notes(
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known, (keys, ratios) = WordHashes(), model.value
-        for frame, words in text_batches(batches, "text", False):
+        for frame, words in text_batches(batches, "text", False, WORDS):
             row, key = features(words, known)
             at, found = places(keys, key)
             weight = np.bincount(row[found], weights=ratios[at[found]], minlength=len(words))
