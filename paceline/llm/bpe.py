@@ -9,7 +9,8 @@ from __future__ import annotations
 
 import json
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -17,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Pre-tokens and pairs of tokens that a Python worker remembers; it then starts afresh.
+#: Pre-tokens and pairs of tokens that a Python worker remembers; of pre-tokens twice as many, the older half goes first.
 REMEMBERED, REMEMBERED_PAIRS = 200_000, 400_000
 #: Characters handled at once.
 CHARACTERS_AT_ONCE = 2_000_000
@@ -33,8 +34,26 @@ def byte_symbols() -> list[str]:
     return [chr(b) if b in visible else chr(next(hidden)) for b in range(256)]
 
 
-class WordBpe(dict):
-    """The encoder of a tokenizer file of lower-cased words with word ends; as a dict: pre-token to ids."""
+class Remembered(dict):
+    """A dict that computes what it misses and keeps the entries used last: up to limit, and as many before those."""
+
+    def __init__(self, compute: Callable[[str], tuple[int, ...]], limit: int) -> None:
+        self.compute, self.limit, self.older = compute, limit, {}
+
+    def __missing__(self, word: str) -> tuple[int, ...]:
+        out = self.older.get(word)
+        if out is None:
+            out = self.compute(word)
+        if len(word) <= 64:
+            if len(self) >= self.limit:
+                self.older = dict(self)
+                self.clear()
+            self[word] = out
+        return out
+
+
+class WordBpe:
+    """The encoder of a tokenizer file of lower-cased words with word ends."""
 
     def __init__(self, path: str) -> None:
         import ahocorasick
@@ -46,7 +65,6 @@ class WordBpe(dict):
         self.special = {x["content"]: x["id"] for x in file["added_tokens"]}
         self.cut_special = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
         self.pre_token = regex.compile(file["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"], flags=regex.V0)
-        self.text_of = {i: t for t, i in (model["vocab"] | self.special).items()}
         self.symbols = byte_symbols()
         self.automaton = ahocorasick.Automaton()
         for token, i in model["vocab"].items():
@@ -65,22 +83,20 @@ class WordBpe(dict):
             self.merge[x, y] = rank
             self.rank_of.setdefault(made, rank)
             self.halves.setdefault(made, (x, y))
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.of_token = Remembered(self.tokens_of, REMEMBERED)
+        self.pairs: dict[int, bool] = {}  # by left << 20 | right
 
     @staticmethod
     def packed(token: str) -> str:
         return token[: -len(END) - 1] + chr(LAST + ord(token[-len(END) - 1])) if token.endswith(END) and len(token) > len(END) else token
 
     def compatible(self, left: int, right: int) -> bool:
-        """Whether the text of left and right is encoded as just these two.
+        """Whether the text of left and right is encoded as just these two; the answer is kept in pairs.
 
         Undo merges beside the boundary, the latest first. A merge over the boundary would have come before one of
         them if its rank is lower than that of the merge that used up its left part, or not higher than that of the one
         that used up its right part (of equal merges the leftmost is first).
         """
-        known = self.pairs.get((left, right))
-        if known is not None:
-            return known
         x, y, until_x, until_y, good = left, right, 1 << 60, 1 << 60, True
         while True:
             over = self.merge.get((x, y))
@@ -96,36 +112,42 @@ class WordBpe(dict):
                 y, until_y = self.halves[y][0], ry
         if len(self.pairs) >= REMEMBERED_PAIRS:
             self.pairs.clear()
-        self.pairs[left, right] = good
+        self.pairs[left << 20 | right] = good
         return good
 
-    def __missing__(self, word: str) -> tuple[int, ...]:
-        raw = word.encode("utf-8", "surrogatepass")
-        symbols = self.symbols
-        text = "".join([symbols[b] for b in raw[:-1]]) + chr(LAST + ord(symbols[raw[-1]]))
+    def tokens_of(self, word: str) -> tuple[int, ...]:
+        """Ids of a pre-token."""
+        if word.isascii() and word.isprintable() and " " not in word:  # each byte is its own symbol
+            text = word[:-1] + chr(LAST + ord(word[-1]))
+        else:
+            raw = word.encode("utf-8", "surrogatepass")
+            symbols = self.symbols
+            text = "".join([symbols[b] for b in raw[:-1]]) + chr(LAST + ord(symbols[raw[-1]]))
         last: list[tuple[int, int] | None] = [None] * (len(text) + 1)
+        pairs = self.pairs
         for end, (size, token) in self.automaton.iter(text):
-            start = end + 1 - size
-            if last[end + 1] is None and (start == 0 or last[start] is not None and self.compatible(last[start][1], token)):
-                last[end + 1] = (start, token)
+            end += 1
+            if last[end] is None:
+                start = end - size
+                if start:
+                    before = last[start]
+                    if before is None:
+                        continue
+                    good = pairs.get(before[1] << 20 | token)
+                    if good is None:
+                        good = self.compatible(before[1], token)
+                    if not good:
+                        continue
+                last[end] = (start, token)
         ids, at = [], len(text)
         while at:
             at, token = last[at]
             ids.append(token)
-        out = tuple(reversed(ids))
-        if len(word) <= 64:
-            if len(self) >= REMEMBERED:
-                self.clear()
-            self[word] = out
-        return out
-
-    def pre_tokens(self, text: str) -> list[str]:
-        text = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
-        return self.pre_token.findall(text)
+        return tuple(reversed(ids))
 
     def encode(self, text: str) -> np.ndarray:
         if self.cut_special is None or not any(s in text for s in self.special):
-            return np.fromiter(chain.from_iterable(map(self.__getitem__, self.pre_tokens(text))), np.int32)
+            return self.encode_plain(text)
         parts, at = [], 0
         for m in self.cut_special.finditer(text):
             parts += [self.encode_plain(text[at : m.start()]), np.array([self.special[m[0]]], np.int32)]
@@ -133,10 +155,21 @@ class WordBpe(dict):
         return np.concatenate([*parts, self.encode_plain(text[at:])])
 
     def encode_plain(self, text: str) -> np.ndarray:
-        return np.fromiter(chain.from_iterable(map(self.__getitem__, self.pre_tokens(text))), np.int32)
+        text = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
+        return np.fromiter(chain.from_iterable(map(self.of_token.__getitem__, self.pre_token.findall(text))), np.int32)
+
+
+@lru_cache(maxsize=1)
+def encoder(path: str) -> WordBpe:
+    """Read once in a Python worker, whatever the number of tasks."""
+    return WordBpe(path)
+
 
-    def decode(self, ids: np.ndarray) -> str:
-        return " ".join(map(self.text_of.__getitem__, ids.tolist()))
+@lru_cache(maxsize=1)
+def token_texts(path: str) -> dict[int, str]:
+    with open(path, encoding="utf-8") as f:
+        file = json.load(f)
+    return {i: t for t, i in (file["model"]["vocab"] | {x["content"]: x["id"] for x in file["added_tokens"]}).items()}
 
 
 def some_at_once(frame: pd.DataFrame, sizes: list[int], limit: int) -> Iterator[pd.DataFrame]:
@@ -160,7 +193,7 @@ def encode_notes(attempts: DataFrame, vocabulary: str, attempt_id: str = "attemp
     kind = attempts.schema[attempt_id].dataType.simpleString()
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bpe = WordBpe(vocabulary)
+        bpe = encoder(vocabulary)
         for frame in batches:
             texts = frame["text"].tolist()
             for part in some_at_once(frame, [len(t or "") for t in texts], CHARACTERS_AT_ONCE):
@@ -176,10 +209,10 @@ def decode_notes(encoded: DataFrame, vocabulary: str, attempt_id: str = "attempt
     kind = encoded.schema[attempt_id].dataType.simpleString()
 
     def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bpe = WordBpe(vocabulary)
+        text_of = token_texts(vocabulary).__getitem__
         for frame in batches:
             for part in some_at_once(frame, list(map(len, frame["token_ids"])), CHARACTERS_AT_ONCE // 4):
-                yield part.assign(text=[bpe.decode(np.asarray(x)) for x in part["token_ids"]])
+                yield part.assign(text=[" ".join(map(text_of, np.asarray(x).tolist())) for x in part["token_ids"]])
 
     rows = encoded.select(F.col(attempt_id).cast("string").alias("id"), F.coalesce("token_ids", F.array().cast("array<int>")).alias("token_ids"), "n_tokens")
     out = rows.mapInPandas(decode, "id string, token_ids array<int>, n_tokens long, text string")

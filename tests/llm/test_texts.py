@@ -6,7 +6,7 @@ import pytest
 
 pytest.importorskip("xxhash")
 
-from paceline.llm.bpe import WordBpe, decode_notes, encode_notes
+from paceline.llm.bpe import Remembered, WordBpe, decode_notes, encode_notes, token_texts
 from paceline.llm.common import WordHashes
 from paceline.llm.importance import features, kth_largest, sample_usable_notes
 from paceline.llm.jaccard import allocate, band_edges, most_different, near_duplicate_notes
@@ -169,7 +169,17 @@ def test_encoding_equals_the_library_and_decodes(spark):
 def test_every_prefix_has_one_last_token():
     bpe = WordBpe(vocabulary())
     for word in ("strawberries", "aaaaaaab", "rührei", "xqzt"):
-        assert "".join(bpe.text_of[i] for i in bpe[word]).count("</w>") == 1
+        assert "".join(token_texts(vocabulary())[i] for i in bpe.of_token[word]).count("</w>") == 1
+
+
+def test_remembered_entries_come_back_whatever_the_limit():
+    asked = []
+    held = Remembered(lambda w: asked.append(w) or (len(w),), 3)
+    rnd = random.Random(1)
+    for _ in range(500):
+        word = "x" * min(rnd.randrange(1, 9), rnd.randrange(1, 9))
+        assert held[word] == (len(word),)
+    assert len(held) <= 3 and len(held.older) <= 3 and len(asked) < 400
 
 
 def test_sampling_keeps_usable_and_drops_the_rest(spark):
