@@ -189,10 +189,10 @@ def fn5(spark, sf):
     return V.samples(spark, sf).select("attempt_id", "ms", X.round_us(X.cents(f, F.lit(554.0))).alias("cents"), X.round_us(X.relative_difference(f, F.lit(554.0))).alias("relative_difference"))
 
 
-@query("fn6", f"WITH {V.SAMPLES} SELECT attempt_id, {r6('sqrt(avg(motion_score*motion_score))')} AS rms, {r6('avg(motion_score)')} AS mean, {r6('stddev_pop(motion_score)')} AS deviation FROM smp GROUP BY 1")
+@query("fn6", f"WITH {V.SAMPLES} SELECT attempt_id, {r6('sqrt(avg(v*v))/1000')} AS rms, {r6('avg(v)/1000')} AS mean, {r6('stddev_pop(motion_score)')} AS deviation FROM smp GROUP BY 1")
 def fn6(spark, sf):
-    m = F.col("motion_score")
-    return V.samples(spark, sf).groupBy("attempt_id").agg(X.round_us(F.sqrt(F.avg(m * m))).alias("rms"), X.round_us(F.avg(m)).alias("mean"), X.round_us(F.stddev_pop(m)).alias("deviation"))
+    m, v = F.col("motion_score"), F.col("v")  # whole thousandths, so that sums don't depend on their order
+    return V.samples(spark, sf).groupBy("attempt_id").agg(X.round_us(F.sqrt(F.avg(v * v)) / 1000).alias("rms"), X.round_us(F.avg(v) / 1000).alias("mean"), X.round_us(F.stddev_pop(m)).alias("deviation"))
 
 
 @query("fn7", f"SELECT p_partkey, {r6('CASE WHEN p_size%3=0 AND p_size%5=0 THEN NULL WHEN p_size%3=0 THEN p_size*2.0::DOUBLE WHEN p_size%5=0 THEN p_retailprice ELSE (p_retailprice*p_size+p_size*2.0::DOUBLE*3)/greatest(p_size+3,1e-6) END')} AS mean FROM part")
