@@ -31,6 +31,8 @@ CELLS = 64
 BUCKET_SIGNATURES, FLUSH_SIGNATURES = 100_000, 1_000_000
 #: Keys that a node shares with the smallest node of their buckets to be in its block; nodes and shingles of a block, about.
 STRONG_VOTES, BLOCK_NODES, BLOCK_SHINGLES = 3, 1024, 500_000
+#: Nodes of a key whose sketches are compared in one piece.
+KEY_NODES = 2048
 #: Whether a row is of the first block of a pair, of the second, or of the only one.
 LEFT, RIGHT, BOTH = 0, 1, 2
 #: Columns of the dense matrices that blocks are compared by.
@@ -336,9 +338,24 @@ def near_duplicate_notes(attempts: DataFrame, attempt_id: str = "attempt_id", no
     stars = components(linked(first))
     label = cut(nodes.join(stars, "node", "left").select("node", F.coalesce("component", "node").alias("label")))
 
-    # What is left: pairs of a bucket that lie in different components. Nodes that share several keys with the same
-    # smallest node form a block; two blocks that meet under a key are compared as matrices, and only links that
-    # connect something are returned.
+    # What is left: pairs of a key that lie in different components. First the sketches of each key are compared as a matrix,
+    # those of a key with many nodes in parts: a node whose sketch rules out every other label of its keys has no link left.
+
+    def sieve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in whole_groups(batches, "pair", 4096):
+            keep = may_link(frame, percent)
+            if keep.any():
+                yield frame.loc[keep, ["pair", "side", "label", "node"]]
+
+    side = lambda own, other: F.when(F.col(own) == F.col(other), BOTH).when(F.col(own) < F.col(other), LEFT).otherwise(RIGHT)
+    under = shared.join(label, "node")
+    keys = under.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.ceil(F.count("*") / KEY_NODES).cast("int").alias("parts")).where("lo < hi").select("key", "parts")
+    part = under.join(keys, "key").withColumn("part", F.pmod(F.xxhash64("node"), "parts").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    parted = part.select(F.xxhash64("key", F.least("part", "other"), F.greatest("part", "other")).alias("pair"), side("part", "other").alias("side"), "node", "label").join(loaded.select("node", "n", "sketch"), "node")
+    alive = cut(parted.repartition(partitions(spark), "pair").sortWithinPartitions("pair").mapInPandas(sieve, "pair long, side int, label long, node long").select("node").distinct())
+
+    # Among the nodes left, those that share several keys with the same smallest node form a block; two blocks that meet
+    # under a key are compared as matrices, and only links that connect something are returned.
     strong = votes.where(f"c >= {STRONG_VOTES}").groupBy("node").agg(F.max_by("leader", F.struct("c", "leader")).alias("over"))
     above = strong.select(F.col("node").alias("over"), F.col("over").alias("top"))
     tops = strong.join(above, "over", "left").select("node", F.coalesce("top", "over").alias("root"))
@@ -346,19 +363,12 @@ def near_duplicate_notes(attempts: DataFrame, attempt_id: str = "attempt_id", no
     rooted = heads.withColumn("root", F.coalesce("root", "node")).join(loaded.select("node", "n", "sketch"), "node")
     parts = rooted.groupBy("root").agg(F.greatest(F.ceil(F.count("*") / BLOCK_NODES), F.ceil(F.sum("n") / BLOCK_SHINGLES)).alias("parts"))
     blocks = cut(rooted.join(parts, "root").select("node", "label", "n", "sketch", F.xxhash64("root", F.pmod(F.xxhash64("node"), "parts")).alias("block")))
-    marked = shared.join(blocks.select("node", "label", "block"), "node")
+    marked = shared.join(alive, "node", "left_semi").join(blocks.select("node", "label", "block"), "node")
     unsettled = marked.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.collect_set("block").alias("others")).where("lo < hi").select("key", "others")
     met = marked.join(unsettled, "key").select("node", "block", F.explode("others").alias("other"))
-    side = F.when(F.col("block") == F.col("other"), BOTH).when(F.col("block") < F.col("other"), LEFT).otherwise(RIGHT)
-    sides = met.select(F.xxhash64(F.least("block", "other"), F.greatest("block", "other")).alias("pair"), side.alias("side"), "node").distinct()
+    sides = met.select(F.xxhash64(F.least("block", "other"), F.greatest("block", "other")).alias("pair"), side("block", "other").alias("side"), "node").distinct()
     sketched = sides.join(blocks.select("node", "label", "n", "sketch"), "node")
 
-    def sieve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in whole_groups(batches, "pair", 4096):
-            keep = may_link(frame, percent)
-            if keep.any():
-                yield frame.loc[keep, ["pair", "side", "label", "node"]]
-
     sieved = sketched.repartition("pair").sortWithinPartitions("pair").mapInPandas(sieve, "pair long, side int, label long, node long")
     work = sieved.join(loaded.select("node", "shingles"), "node")
 
