@@ -107,6 +107,12 @@ class Dom(HTMLParser):
             if tag in INLINE and self.open[i][1] >= 0:
                 return
 
+    def parse_marked_section(self, i: int, report: int = 1) -> int:
+        """<![...> other than CDATA is a comment up to the next >, as browsers read it; -1 where that is missing."""
+        if self.rawdata.startswith("<![CDATA[", i):
+            return super().parse_marked_section(i, report)
+        return self.rawdata.find(">", i + 3) + 1 or -1
+
     def handle_data(self, data: str) -> None:
         if self.silent:
             return

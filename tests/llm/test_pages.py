@@ -221,3 +221,10 @@ def test_only_the_marker_is_taken_off_a_line(spark):
 def test_text_of_formulas_and_players_is_read():
     page = "<article><p>where <math><mi>x</mi><mo>=</mo><mn>1</mn><annotation>tex</annotation></math> holds</p><video src=v>no player here</video><svg><title>t</title><text>label</text></svg></article>"
     assert " ".join(t for t in parse(page).text if t is not None) == "where x=1 holds no player here label"
+
+
+@pytest.mark.parametrize("odd", ["<![ endif]>", "<![1]>", "<![x[ y]]>", "<![if !IE]>", "<![CDATA[ x ]]>", "<![", "<!", "<!x y>"])
+def test_odd_declarations_end_no_page(odd):
+    dom = parse(f"<html><body><article><p>some words before</p>{odd}<p>and words behind</p></article></body></html>")
+    text = " ".join(t for t in dom.text if t)
+    assert "some words before" in text and ("and words behind" in text or odd in ("<![", "<!"))
