@@ -39,12 +39,12 @@ ss AS (SELECT 1 / greatest(0.001, least(0.95, coalesce(sum((k - n * m) * (k - n
 s1 AS (SELECT suffix, (k + s * m) / (n + s) AS sm FROM s0, ss),
 d0 AS (SELECT domain, suffix, sum(n) AS n, sum(k) AS k, any_value(sm) AS m FROM hosts JOIN s1 USING (suffix) GROUP BY 1, 2),
 ds AS (SELECT 1 / greatest(0.001, least(0.95, coalesce(sum((k - n * m) * (k - n * m) - n * m * (1 - m)) / nullif(sum(n * m * (1 - m) * (n - 1)), 0), 0.001))) - 1 AS s FROM d0),
-d1 AS (SELECT domain, (k + s * m) / (n + s) AS dm FROM d0, ds),
-h0 AS (SELECT host, n, k, dm AS m FROM hosts JOIN d1 USING (domain)),
+d1 AS (SELECT domain, suffix, (k + s * m) / (n + s) AS dm FROM d0, ds),
+h0 AS (SELECT host, n, k, dm AS m FROM hosts JOIN d1 USING (domain, suffix)),
 hs AS (SELECT 1 / greatest(0.001, least(0.95, coalesce(sum((k - n * m) * (k - n * m) - n * m * (1 - m)) / nullif(sum(n * m * (1 - m) * (n - 1)), 0), 0.001))) - 1 AS s FROM h0),
 judged AS (
   SELECT page_id, s * coalesce(dm, sm, m) + coalesce(k, 0) AS a, s * (1 - coalesce(dm, sm, m)) + coalesce(n, 0) - coalesce(k, 0) AS b
-  FROM split LEFT JOIN (SELECT host, n, k FROM hosts) h USING (host) LEFT JOIN d1 USING (domain) LEFT JOIN s1 USING (suffix), hs, world)
+  FROM split LEFT JOIN (SELECT host, n, k FROM hosts) h USING (host) LEFT JOIN d1 USING (domain, suffix) LEFT JOIN s1 USING (suffix), hs, world)
 SELECT p.page_id, p.host, p.path, f.rule,
   coalesce(f.verdict, CASE WHEN a / (a + b) - sqrt((a / (a + b)) * (1 - a / (a + b)) / (a + b + 1)) >= 0.5 THEN 'allow' ELSE 'block' END) AS verdict
 FROM parts p JOIN judged USING (page_id) LEFT JOIN fits f USING (page_id)

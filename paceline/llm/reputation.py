@@ -27,7 +27,7 @@ def levels(host: Column) -> tuple[Column, Column]:
 
 def fitting_rule(host: Column, path: Column, rules: list[tuple[str, str]]) -> Column:
     """The longest rule (host/path, allow or block) that fits: its host or a subdomain, and a path that begins with its own."""
-    known = F.array(*[F.struct(F.lit(r).alias("rule"), F.lit(v).alias("verdict"), F.lit(r.partition("/")[0]).alias("host"), F.lit("/" + r.partition("/")[2]).alias("path")) for r, v in sorted(rules, key=lambda x: (-len(x[0]), x[0]))])
+    known = F.array(*[F.struct(F.lit(r).alias("rule"), F.lit(v).alias("verdict"), F.lit(r.partition("/")[0]).alias("host"), F.lit("/" + r.partition("/")[2]).alias("path")) for r, v in sorted(rules, key=lambda x: (-len(x[0]), x[0]))]).cast("array<struct<rule:string,verdict:string,host:string,path:string>>")
     return F.try_element_at(F.filter(known, lambda r: ((host == r["host"]) | host.endswith(F.concat(F.lit("."), r["host"]))) & path.startswith(r["path"])), F.lit(1))
 
 
@@ -63,12 +63,13 @@ def judge_pages(
     suffixes = hosts.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("k").alias("k")).withColumn("mean", F.lit(whole))
     of_suffix = suffixes.select("suffix", posterior(spread(suffixes)).alias("suffix_mean"))
     domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("k").alias("k")).join(of_suffix, "suffix").withColumnRenamed("suffix_mean", "mean")
-    of_domain = domains.select("domain", posterior(spread(domains)).alias("domain_mean"))
-    under = hosts.join(of_domain, "domain").withColumnRenamed("domain_mean", "mean")
+    # Domain co.uk stands under suffix uk for host co.uk and under co.uk for host .co.uk, so the two together are the key.
+    of_domain = domains.select("domain", "suffix", posterior(spread(domains)).alias("domain_mean"))
+    under = hosts.join(of_domain, ["domain", "suffix"]).withColumnRenamed("domain_mean", "mean")
     strength = spread(under)
     rows = pages.select(F.col(page_id).alias("id"), F.col(url).cast("string").alias("url")).select("id", host.alias("host"), path.alias("path"))
     rows = rows.withColumns(dict(zip(("domain", "suffix"), levels(F.col("host")), strict=True)))
-    known = rows.join(hosts.select("host", "n", "k"), "host", "left").join(of_domain, "domain", "left").join(of_suffix, "suffix", "left")
+    known = rows.join(hosts.select("host", "n", "k"), "host", "left").join(of_domain, ["domain", "suffix"], "left").join(of_suffix, "suffix", "left")
     prior = F.coalesce("domain_mean", "suffix_mean", F.lit(whole))
     a = strength * prior + F.coalesce("k", F.lit(0))
     b = strength * (1 - prior) + F.coalesce("n", F.lit(0)) - F.coalesce("k", F.lit(0))

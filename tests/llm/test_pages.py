@@ -100,6 +100,15 @@ def test_rules_and_reputation(spark):
     assert judge_pages(pages(spark, []), outcomes.limit(0), rules).count() == 0
 
 
+def test_labelled_hosts_that_are_suffixes_return_each_page_once(spark):
+    outcomes = spark.createDataFrame([("http://co.uk/", 1), ("http://.co.uk/", 0), ("http://a.co.uk/", 1), ("http://b.co.uk/", 0), ("http://x.b.co.uk/", 0)], "url string, good int")
+    urls = [(1, "http://co.uk/p"), (2, "http://.co.uk/p"), (3, "http://new.a.co.uk/"), (4, "http://c.co.uk/"), (5, "http://uk/"), (6, "http://y.b.co.uk/")]
+    got = judge_pages(pages(spark, [(i, u, None) for i, u in urls]), outcomes, []).collect()
+    assert sorted(r["page_id"] for r in got) == [1, 2, 3, 4, 5, 6]
+    mean = {r["page_id"]: r["mean"] for r in got}
+    assert mean[3] > mean[4] > mean[6]
+
+
 def test_lattice_points_are_nearest():
     rnd = np.random.default_rng(0)
     x = rnd.standard_normal((300, 8)) * 1.3
