@@ -150,26 +150,26 @@ def events(spark, sf):
 @query("st1", "SELECT DISTINCT user_id, epoch_ms(date_trunc('hour', ts)) AS frame FROM events")
 def st1(spark, sf):
     s = events(spark, sf).withColumn("frame", (F.unix_millis(F.date_trunc("hour", "ts"))))
-    return L.run_available(L.unique_frames(s, ["user_id", "frame"], "ts", "40 days"), workdir(spark), "append").select("user_id", "frame")
+    return L.run_available(L.unique_frames(s, ["user_id", "frame"], "ts", "40 days"), workdir(spark)).select("user_id", "frame")
 
 
 @query("st2", """WITH g AS (SELECT user_id, ts, coalesce(ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) >= INTERVAL 6 HOUR, true) AS n FROM events), s AS (SELECT *, sum(CASE WHEN n THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM g)
  SELECT user_id, epoch_us(min(ts)) AS span_start_us, epoch_us(max(ts) + INTERVAL 6 HOUR) AS span_end_us, count(*) AS samples FROM s GROUP BY user_id, k""")
 def st2(spark, sf):
-    r = L.run_available(L.tracking_sessions(events(spark, sf), "user_id", "ts", "6 hours", "1 hour"), workdir(spark), "complete")
+    r = L.run_to_end(events(spark, sf), lambda s: L.tracking_sessions(s, "user_id", "ts", "6 hours", "1 hour"), workdir(spark), "ts")
     return r.select("user_id", F.unix_micros("span_start").alias("span_start_us"), F.unix_micros("span_end").alias("span_end_us"), "samples")
 
 
 @query("st3", f"SELECT user_id, epoch_ms(date_trunc('hour', ts) - INTERVAL (k) HOUR) AS window_start_ms, {r6('sum(value*value)')} AS energy, count(*) AS samples FROM events, (SELECT unnest([0,1]) AS k) GROUP BY 1,2")
 def st3(spark, sf):
-    r = L.run_available(L.sliding_energy(events(spark, sf), "user_id", "ts", "value", "2 hours", "1 hour", "1 hour"), workdir(spark), "complete")
+    r = L.run_to_end(events(spark, sf), lambda s: L.sliding_energy(s, "user_id", "ts", "value", "2 hours", "1 hour", "1 hour"), workdir(spark), "ts")
     return r.select("user_id", F.unix_millis("window_start").alias("window_start_ms"), X.round_us("energy").alias("energy"), "samples")
 
 
 @query("st4", "SELECT event_type, epoch_ms(date_trunc('day', ts)) AS window_start_ms, count(*) FILTER (value>60) AS accepted, count(*) FILTER (value>20 AND value<=60) AS review, count(*) FILTER (value<=20) AS missing FROM events GROUP BY 1,2")
 def st4(spark, sf):
     s = events(spark, sf).withColumn("status", F.when(F.col("value") > 60, "accepted").when(F.col("value") > 20, "review").otherwise("missing"))
-    r = L.run_available(L.outcome_counts(s, "event_type", "ts", "status", "1 day", "1 hour"), workdir(spark), "complete")
+    r = L.run_to_end(s, lambda s: L.outcome_counts(s, "event_type", "ts", "status", "1 day", "1 hour"), workdir(spark), "ts")
     return r.select("event_type", F.unix_millis("window_start").alias("window_start_ms"), "accepted", "review", "missing")
 
 
@@ -179,9 +179,9 @@ def st5(spark, sf):
     work = workdir(spark)
     s = L.file_stream(spark, sf, "orders").select("o_custkey", "o_orderkey", F.struct("o_orderdate", "o_orderkey").alias("version"))
     q = (s.writeStream.option("checkpointLocation", f"{work}/state").trigger(availableNow=True)
-         .foreachBatch(lambda b, i: L.upsert_library(b, f"{work}/library", "o_custkey", "version", 16)).start())
+         .foreachBatch(lambda b, i: L.upsert_library(b, f"{work}/library", "o_custkey", "version", 16, i)).start())
     q.awaitTermination()
-    return spark.read.parquet(f"{work}/library").select("o_custkey", "o_orderkey")
+    return L.read_library(spark, f"{work}/library").select("o_custkey", "o_orderkey")
 
 
 @query("st6")
@@ -190,12 +190,13 @@ def st6(spark, sf):
     ids = F.array(*[F.lit(x) for x in [*X.MARKER_IDS, "elbow"]])
     p = s.select(F.col("l_orderkey").alias("attempt_id"), (F.col("l_partkey") * 1000 + F.col("l_suppkey")).alias("ord"), F.element_at(ids, F.col("l_linenumber").cast("int")).alias("marker_id"),
                  (2.0 * (F.col("l_linenumber") - 1) + F.col("l_quantity") / 4.0).alias("raw_time"), F.lit(20.0).alias("duration_s"))
-    return L.run_available(L.validate_markers(p), workdir(spark), "append")
+    p = p.withColumn("ts", F.timestamp_millis("ord"))  # the proposal's number is the clock of the feed
+    return L.run_to_end(p, lambda s: L.validate_markers(s, "ts", "1 minute", 86_400_000).where("attempt_id is not null"), workdir(spark), "ts")
 
 
 @query("st7", """WITH e AS (SELECT user_id, event_id, epoch(ts) - CASE WHEN event_id%7=0 THEN 200000 ELSE 0 END AS t, value FROM events), m AS (SELECT *, max(t) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS seen FROM e)
  SELECT user_id AS attempt_id, count(*) AS samples, count(*) FILTER (t <= seen) AS late FROM m GROUP BY 1""")
 def st7(spark, sf):
     e = events(spark, sf).select(F.col("user_id").alias("attempt_id"), F.col("event_id").alias("ord"), (F.unix_micros("ts") / 1000000.0 - F.when(F.col("event_id") % 7 == 0, 200000).otherwise(0)).alias("sample_time"), "value")
-    r = L.run_available(L.flag_late(e), workdir(spark), "append")
+    r = L.run_available(L.flag_late(e, 86_400_000), workdir(spark), ["late"])
     return r.groupBy("attempt_id").agg(F.count("*").alias("samples"), F.count_if("late").alias("late"))
