@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 REMEMBERED_WORDS = 400_000
 #: Words handled at once inside a task.
 WORDS_AT_ONCE = 400_000
+#: Edges for each task of a component search.
+EDGES_AT_ONCE = 200_000
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -150,18 +152,22 @@ def components(edges: DataFrame) -> DataFrame:
 
     Returns (node, component): the component is its smallest node. Nodes without an edge to another are left out. Every
     round is cut in the shared folder. It ends when the edges are stars to a smaller centre: each node has one parent
-    and no parent has one itself, which is counted, not sampled.
+    and no parent has one itself, which is counted, not sampled. The rounds take tasks in proportion to the edges, as
+    every task of an exchange leaves files on the disk, empty ones too.
     """
     parents = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("node"), F.least("a", "b").alias("parent")).distinct())
+    tasks = 1 + parents.count() // EDGES_AT_ONCE
+    fit = (lambda df: df.coalesce(tasks)) if tasks < partitions(edges.sparkSession) else (lambda df: df)
     while True:
+        parents = fit(parents)
         roots = parents.groupBy("node").agg(F.count("*").alias("n"))
         several = roots.where("n > 1").limit(1).count()
         above = 0 if several else parents.join(parents.select(F.col("node").alias("parent")), "parent", "left_semi").limit(1).count()
         if not several and not above:
             return parents.select("node", F.col("parent").alias("component")).union(parents.select("parent", "parent").distinct())
-        both = parents.union(parents.select("parent", "node"))
+        both = fit(parents.union(parents.select("parent", "node")))
         low = both.groupBy("node").agg(F.min("parent").alias("low")).select("node", F.least("low", "node").alias("low"))
         large = both.where("parent > node").join(low, "node").where("parent <> low").select(F.col("parent").alias("node"), F.col("low").alias("parent")).distinct()
         low = large.groupBy("node").agg(F.min("parent").alias("low"))
         small = large.join(low, "node")
-        parents = cut(small.where("parent <> low").select(F.col("parent").alias("node"), F.col("low").alias("parent")).union(small.select("node", F.col("low").alias("parent"))).distinct())
+        parents = cut(fit(small.where("parent <> low").select(F.col("parent").alias("node"), F.col("low").alias("parent")).union(small.select("node", F.col("low").alias("parent")))).distinct())
